@@ -28,6 +28,7 @@ class NBModel:
     classes: list[int]
     prior: DataFrame  # cls, n, log_prior
     term_lp: DataFrame  # term, cls, log_prob
+    n_terms: int | None = None  # vocabulary size when known
 
     def term_vectors(self) -> DataFrame:
         """(term, lp ARRAY<DOUBLE>) with one element per class, in class order."""
@@ -52,6 +53,7 @@ def fit(
     vocab: DataFrame,
     label: str = "label",
     alpha: float = 0.1,
+    vocab_bound: int | None = None,
 ) -> NBModel:
     """rows: one row per training document with ``label``; weights: TF-IDF rows
     (term, weight) carrying the same ``label``; vocab: (term, ...)."""
@@ -65,7 +67,7 @@ def fit(
     totals = fc.groupBy("cls").agg(F.sum("fc").alias("fc_total"))
     n_terms = vocab.select(F.count(F.lit(1))).scalar()
     grid = vocab.select("term", F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
-    totals_b, _ = sized_broadcast(totals, 10_000)
+    totals_b, _ = sized_broadcast(totals, 10_000, bound=len(classes))
     term_lp = (
         grid.join(fc, ["cls", "term"], "left")
         .join(totals_b, "cls", "left")
@@ -78,7 +80,9 @@ def fit(
             ).alias("log_prob"),
         )
     )
-    return NBModel(classes, prior, term_lp)
+    # The model tables are small (classes x vocabulary); materialise them once so
+    # that scoring, however often it runs, never recomputes the fit.
+    return NBModel(classes, prior.checkpoint(eager=True), term_lp.checkpoint(eager=True), vocab_bound)
 
 
 def joint_log_likelihood(
@@ -87,22 +91,25 @@ def joint_log_likelihood(
     """keys + carry + scores ARRAY<DOUBLE>: log prior + sum_t weight_t * log_prob_ct,
     one element per class. Rows without any vocabulary term score the prior."""
     k = len(model.classes)
-    tv, _ = sized_broadcast(model.term_vectors(), BROADCAST_TERM_ROWS)
-    # Every row enters the aggregate, also those without vocabulary terms.
-    empty = rows.select(*keys, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight"))
-    stream = weights.select(*keys, "term", "weight").unionByName(empty)
+    tv, _ = sized_broadcast(model.term_vectors(), BROADCAST_TERM_ROWS, model.n_terms)
+    # Every row enters the aggregate through one marker row (no term), also rows
+    # without vocabulary terms; the marker also carries the pass-through columns,
+    # so no join back to the rows is needed.
+    marker = rows.select(*keys, *carry, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight"))
+    nulls = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in carry]
+    stream = weights.select(*keys, *nulls, "term", "weight").unionByName(marker)
     dots = (
         stream.join(tv, "term", "left")
         .groupBy(*keys)
-        .agg(*[F.sum(F.col("weight") * F.coalesce(F.col("lp")[i], F.lit(0.0))).alias(f"_d{i}") for i in range(k)])
+        .agg(
+            *[F.sum(F.col("weight") * F.coalesce(F.col("lp")[i], F.lit(0.0))).alias(f"_d{i}") for i in range(k)],
+            *[F.max(c).alias(c) for c in carry],
+        )
     )
-    prior_row = model.prior.orderBy("cls").select("log_prior").collect()
-    priors = [float(r["log_prior"]) for r in prior_row]
+    # At most a handful of rows (one per class).
+    priors = [float(r["log_prior"]) for r in model.prior.orderBy("cls").select("log_prior").collect()]
     scores = F.array(*[F.lit(priors[i]) + F.col(f"_d{i}") for i in range(k)])
-    out = dots.select(*keys, scores.alias("scores"))
-    if carry:
-        out = out.join(rows.select(*keys, *carry), list(keys))
-    return out
+    return dots.select(*keys, *carry, scores.alias("scores"))
 
 
 def predict(model: NBModel, scored: DataFrame, scores: str = "scores") -> F.Column:

@@ -64,10 +64,13 @@ def fit_vocabulary(tf: DataFrame, n_docs: Column, max_features: int = MAX_FEATUR
     )
 
 
-def tfidf(tf: DataFrame, vocab: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def tfidf(
+    tf: DataFrame, vocab: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), vocab_bound: int | None = MAX_FEATURES
+) -> DataFrame:
     """keys + carry + (term, idx, weight): tf * idf, L2-normalised per row over
-    the vocabulary terms (unseen terms are ignored)."""
-    v, _ = sized_broadcast(vocab.select("term", "idx", "idf"), BROADCAST_VOCAB_ROWS)
+    the vocabulary terms (unseen terms are ignored). ``vocab_bound`` is the cap
+    the vocabulary was fitted with (None: count it)."""
+    v, _ = sized_broadcast(vocab.select("term", "idx", "idf"), BROADCAST_VOCAB_ROWS, vocab_bound)
     j = tf.join(v, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*keys)))
     return j.select(*keys, *carry, "term", "idx", (F.col("_w") / norm).alias("weight"))
@@ -97,21 +100,27 @@ def encode_vocabulary(df: DataFrame, text_cols: Sequence[str], size: int) -> Dat
     return top.select("word", (F.row_number().over(w) + UNK_ID).alias("id"))
 
 
-def _ids(df: DataFrame, col: str, keys: Sequence[str], vocab: DataFrame) -> DataFrame:
+def _ids(df: DataFrame, col: str, keys: Sequence[str], vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
     words = df.select(*keys, F.posexplode(split_ws(F.col(col))).alias("pos", "word"))
-    v, _ = sized_broadcast(vocab, BROADCAST_VOCAB_ROWS)
+    v, _ = sized_broadcast(vocab, BROADCAST_VOCAB_ROWS, vocab_bound)
     ided = words.join(v, "word", "left").select(*keys, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
     arr = F.array_sort(F.collect_list(F.struct("pos", "id")))
     return ided.groupBy(*keys).agg(F.transform(arr, lambda e: e["id"]).alias(f"{col}_ids"))
 
 
 def encode_pairs(
-    df: DataFrame, first: str, second: str, keys: Sequence[str], vocab: DataFrame, max_length: int = MAX_LENGTH
+    df: DataFrame,
+    first: str,
+    second: str,
+    keys: Sequence[str],
+    vocab: DataFrame,
+    max_length: int = MAX_LENGTH,
+    vocab_bound: int | None = None,
 ) -> DataFrame:
     """keys + (input_ids, attention_mask): ``<s> A </s></s> B </s>`` with the pair
     cut longest-first (ties cut B) to fit ``max_length``, padded with <pad>."""
-    a = _ids(df, first, keys, vocab)
-    b = _ids(df, second, keys, vocab)
+    a = _ids(df, first, keys, vocab, vocab_bound)
+    b = _ids(df, second, keys, vocab, vocab_bound)
     base = df.select(*keys).join(a, list(keys), "left").join(b, list(keys), "left")
     ia = F.coalesce(F.col(f"{first}_ids"), F.array().cast("array<int>"))
     ib = F.coalesce(F.col(f"{second}_ids"), F.array().cast("array<int>"))

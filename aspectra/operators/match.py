@@ -19,11 +19,15 @@ from aspectra.functions.text import mark_tokens, word_runs
 BROADCAST_LEXICON_ROWS = 200_000
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+def sized_broadcast(df: DataFrame, max_rows: int, bound: int | None = None) -> tuple[DataFrame, bool]:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap whatever the size.
+    ``bound`` is a row bound the caller can prove by construction (a vocabulary
+    capped at max_features, a class list); then no counting job runs. Otherwise
+    the check reads at most ``max_rows + 1`` rows, so it stays cheap whatever the size.
     """
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df), True
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True

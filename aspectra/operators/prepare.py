@@ -108,10 +108,13 @@ def prepare_triples(
     drop rows with any null. Output: keys + (sentence, aspect, sentiment INT).
     """
     k = [F.col(c) for c in keys]
+    # Each step is its own projection over named columns, so no step's
+    # expression is inlined into the next one several times over.
     line1 = format_triple(mark_aspect(F.col(sentence), F.col(aspect)), F.col(aspect), F.col(sentiment))
-    step = raw.select(*k, three_fields(line1).alias("f")).where(F.col("f").isNotNull())
-    line2 = format_triple(clean_text(F.col("f")[0]), clean_text(F.col("f")[1]), F.col("f")[2])
-    step = step.select(*k, three_fields(line2).alias("f")).where(F.col("f").isNotNull())
+    step = raw.select(*k, F.split(strip_ws(line1), "\t").alias("f")).where(F.size("f") == 3)
+    step = step.select(*k, clean_text(F.col("f")[0]).alias("s"), clean_text(F.col("f")[1]).alias("a"), F.col("f")[2].alias("c"))
+    line2 = format_triple(F.col("s"), F.col("a"), F.col("c"))
+    step = step.select(*k, F.split(strip_ws(line2), "\t").alias("f")).where(F.size("f") == 3)
     typed = step.select(
         *k,
         na_to_null(F.col("f")[0]).alias("sentence"),

@@ -50,9 +50,9 @@ class TextBayes:
     def fit(self, train: DataFrame, label: str = "sentiment") -> "TextBayes":
         tf = self.counts(train, carry=[label])
         n_docs = train.select(F.count(F.lit(1))).scalar()
-        self.vocab = FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES)
+        self.vocab = FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES).checkpoint(eager=True)
         weights = FE.tfidf(tf, self.vocab, KEYS, carry=[label])
-        self.model = B.fit(train, weights, self.vocab, label=label, alpha=self.alpha)
+        self.model = B.fit(train, weights, self.vocab, label=label, alpha=self.alpha, vocab_bound=FE.MAX_FEATURES)
         return self
 
     def weights(self, rows: DataFrame, keys=KEYS) -> DataFrame:

@@ -57,17 +57,20 @@ def match_substring(
     keys: Sequence[str],
     lexicon: DataFrame,
     max_broadcast_rows: int = BROADCAST_LEXICON_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """All (row, keyword) pairs where the keyword occurs as a substring of the
-    text, case-sensitive. Output: keys + keyword."""
+    text, case-sensitive. Output: keys + carry + keyword."""
     lex, small = sized_broadcast(lexicon.select("keyword"), max_broadcast_rows)
     if small:
-        rows = df.select(*keys, F.col(text).alias("_text"))
-        return rows.join(lex, F.contains(F.col("_text"), F.col("keyword"))).select(*keys, "keyword")
-    return _match_substring_by_prefix(df, text, keys, lexicon)
+        rows = df.select(*keys, *carry, F.col(text).alias("_text"))
+        return rows.join(lex, F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
+    return _match_substring_by_prefix(df, text, keys, lexicon, carry)
 
 
-def _match_substring_by_prefix(df: DataFrame, text: str, keys: Sequence[str], lexicon: DataFrame) -> DataFrame:
+def _match_substring_by_prefix(
+    df: DataFrame, text: str, keys: Sequence[str], lexicon: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
     """Large-lexicon path: candidate equi-join on the keyword's first k characters
     (k = min(3, length)) against the text's distinct k-character substrings,
     then the exact containment test."""
@@ -81,10 +84,10 @@ def _match_substring_by_prefix(df: DataFrame, text: str, keys: Sequence[str], le
             )
         )
         side = df.where(F.char_length(F.col(text)) >= k).select(
-            *keys, F.col(text).alias("_text"), F.explode(grams).alias("_gram")
+            *keys, *carry, F.col(text).alias("_text"), F.explode(grams).alias("_gram")
         )
         lk = lex.where(F.col("_k") == k).select("keyword", F.substring("keyword", 1, k).alias("_gram"))
-        part = side.join(lk, "_gram").where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, "keyword")
+        part = side.join(lk, "_gram").where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -53,6 +53,7 @@ def _load_all() -> None:
     from aspectra.plans import queries_text  # noqa: F401
     from aspectra.plans import queries_model  # noqa: F401
     from aspectra.plans import queries_eval  # noqa: F401
+    from aspectra.plans import queries_infer  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:

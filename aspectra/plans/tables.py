@@ -44,11 +44,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, sentence): non-blank lines of every document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return doc_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def doc_lines(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "sentence"))
     return out.where(strip_ws(F.col("sentence")) != "")
 
 
+def doc_clauses(docs: DataFrame) -> DataFrame:
+    return C.explode_clauses(doc_lines(docs), "sentence", ["doc_id", "line_no"], CONNECTOR_GATE, CONNECTOR_SPLIT)
+
+
 def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, cnt) ranked list source: tokens and adjacent pairs of benchmark text."""
     bench = table(spark, sf_dir, "benchmark").select(word_runs(F.lower("text")).alias("t"))

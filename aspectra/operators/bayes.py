@@ -112,6 +112,64 @@ def joint_log_likelihood(
     return dots.select(*keys, *carry, scores.alias("scores"))
 
 
+def joint_log_likelihood_shared(
+    model: NBModel,
+    vocab: DataFrame,
+    heads: DataFrame,
+    head: str,
+    head_keys: Sequence[str],
+    texts: DataFrame,
+    text: str,
+    text_keys: Sequence[str],
+    vocab_bound: int | None = None,
+) -> DataFrame:
+    """Scores of documents ``head ++ text`` where many heads share one text
+    (e.g. one prompt per lexicon hit of a line), for 1-gram features.
+
+    Term counts add up, tf(h ++ s) = tf(h) + tf(s), so with w = tf * idf:
+        |w|^2   = S2(s) + sum_{t in h} idf_t^2 (2 tf_s,t tf_h,t + tf_h,t^2)
+        w . lp  = D(s) + sum_{t in h} tf_h,t idf_t lp_t
+    S2 and D are computed once per text, the corrections once per head: the
+    work grows with text length plus hits, not with their product.
+    ``head_keys`` must contain ``text_keys``; head and text must meet at a
+    non-word character so that no token spans them.
+    Output: head_keys + scores ARRAY<DOUBLE>, equal to joint_log_likelihood of
+    the concatenated documents.
+    """
+    from aspectra.operators import features as FE
+
+    k = len(model.classes)
+    tk, hk = list(text_keys), list(head_keys)
+    tv, _ = sized_broadcast(model.term_vectors(), BROADCAST_TERM_ROWS, model.n_terms)
+    v, _ = sized_broadcast(vocab.select("term", "idf"), BROADCAST_TERM_ROWS, vocab_bound)
+    ts = FE.term_counts(texts, text, tk, 1, 1).join(v, "term")
+    lp = [F.coalesce(F.col("lp")[i], F.lit(0.0)) for i in range(k)]
+    per_text = (
+        ts.join(tv, "term", "left")
+        .groupBy(*tk)
+        .agg(
+            F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("_s2"),
+            *[F.sum(F.col("tf") * F.col("idf") * lp[i]).alias(f"_d{i}") for i in range(k)],
+        )
+    )
+    th = FE.term_counts(heads, head, hk, 1, 1).withColumnRenamed("tf", "tf_h").join(v, "term")
+    th = th.join(ts.select(*tk, "term", F.col("tf").alias("tf_s")), [*tk, "term"], "left").join(tv, "term", "left")
+    tf_s = F.coalesce(F.col("tf_s"), F.lit(0))
+    per_head = th.groupBy(*hk).agg(
+        F.sum(F.pow(F.col("idf"), 2) * (2 * tf_s * F.col("tf_h") + F.pow(F.col("tf_h"), 2))).alias("_c2"),
+        *[F.sum(F.col("tf_h") * F.col("idf") * lp[i]).alias(f"_e{i}") for i in range(k)],
+    )
+    out = heads.select(*hk).join(per_head, hk, "left").join(per_text, tk, "left")
+    norm = F.sqrt(F.coalesce(F.col("_s2"), F.lit(0.0)) + F.coalesce(F.col("_c2"), F.lit(0.0)))
+    priors = [float(r["log_prior"]) for r in model.prior.orderBy("cls").select("log_prior").collect()]
+    dots = [
+        F.when(norm > 0, (F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + F.coalesce(F.col(f"_e{i}"), F.lit(0.0))) / norm)
+        .otherwise(F.lit(0.0))
+        for i in range(k)
+    ]
+    return out.select(*hk, F.array(*[F.lit(priors[i]) + dots[i] for i in range(k)]).alias("scores"))
+
+
 def predict(model: NBModel, scored: DataFrame, scores: str = "scores") -> F.Column:
     """Predicted class (lowest class on ties)."""
     idx = V.argmax(F.col(scores))

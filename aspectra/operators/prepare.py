@@ -83,6 +83,17 @@ def three_fields(line: Column) -> Column:
     return F.when(F.size(parts) == 3, parts)
 
 
+def once(df: DataFrame, keys: Sequence[str], *cols: Column) -> DataFrame:
+    """keys + cols, each expression evaluated exactly once per row.
+
+    A later filter on a plain projection is pushed below it with the column's
+    whole expression substituted, so an expensive expression (regex cleaning)
+    would run again inside every filter. Columns produced by a generator
+    (``inline`` of a one-element array) cannot be substituted that way.
+    """
+    return df.select(*keys, F.inline(F.array(F.struct(*cols))))
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null count per column in one pass: rows (column_name, null_count)."""
     cols = list(columns or df.columns)
@@ -108,13 +119,10 @@ def prepare_triples(
     drop rows with any null. Output: keys + (sentence, aspect, sentiment INT).
     """
     k = [F.col(c) for c in keys]
-    # Each step is its own projection over named columns, so no step's
-    # expression is inlined into the next one several times over.
     line1 = format_triple(mark_aspect(F.col(sentence), F.col(aspect)), F.col(aspect), F.col(sentiment))
-    step = raw.select(*k, F.split(strip_ws(line1), "\t").alias("f")).where(F.size("f") == 3)
-    step = step.select(*k, clean_text(F.col("f")[0]).alias("s"), clean_text(F.col("f")[1]).alias("a"), F.col("f")[2].alias("c"))
-    line2 = format_triple(F.col("s"), F.col("a"), F.col("c"))
-    step = step.select(*k, F.split(strip_ws(line2), "\t").alias("f")).where(F.size("f") == 3)
+    step = once(raw, keys, F.split(strip_ws(line1), "\t").alias("f")).where(F.size("f") == 3)
+    line2 = format_triple(clean_text(F.col("f")[0]), clean_text(F.col("f")[1]), F.col("f")[2])
+    step = once(step, keys, F.split(strip_ws(line2), "\t").alias("f")).where(F.size("f") == 3)
     typed = step.select(
         *k,
         na_to_null(F.col("f")[0]).alias("sentence"),

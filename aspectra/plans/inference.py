@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.functions import vectors as V
+from aspectra.operators import bayes as B
 from aspectra.operators import clauses as C
+from aspectra.operators import features as FE
 from aspectra.operators import match as M
 from aspectra.operators import prepare as P
 from aspectra.plans.training import TextBayes
@@ -68,17 +70,35 @@ def infer_all_hits(
 ) -> DataFrame:
     """keys + (aspect, pred, label): every substring hit scored on its own prompt."""
     k = list(keys)
-    hits = M.match_substring(lines, text, k, lexicon_set, carry=[text])
-    rows = hits.select(
-        *k, F.col("keyword").alias("aspect"), C.aspect_prompt(F.col("keyword"), F.col(text), prompt).alias(model_a.text)
-    )
     pk = [*k, "aspect"]
-    scored = model_a.scores(rows, pk)
+    if _shared_text_prompt(model_a, prompt):
+        # The prompt is head(aspect) ++ line: score the line once and each hit's head on top.
+        hits = M.match_substring(lines, text, k, lexicon_set)
+        head = C.aspect_prompt(F.col("keyword"), F.lit(""), prompt)
+        heads = hits.select(*k, F.col("keyword").alias("aspect"), head.alias("_head"))
+        scored = B.joint_log_likelihood_shared(
+            model_a.model, model_a.vocab, heads, "_head", pk, lines.select(*k, text), text, k, FE.MAX_FEATURES
+        )
+    else:
+        hits = M.match_substring(lines, text, k, lexicon_set, carry=[text])
+        rows = hits.select(
+            *k, F.col("keyword").alias("aspect"), C.aspect_prompt(F.col("keyword"), F.col(text), prompt).alias(model_a.text)
+        )
+        scored = model_a.scores(rows, pk)
     cls = F.array(*[F.lit(c) for c in model_a.model.classes])
     pred = V.element(cls, V.argmax(F.col("scores")))
     return scored.select(*pk, pred.alias("pred")).withColumn("label", P.decode_label(F.col("pred")))
 
 
+def _shared_text_prompt(model: TextBayes, prompt: str) -> bool:
+    """True when the prompt is a head ending in a non-word character followed by
+    the text, and the model uses 1-grams: then prompt counts are head + text."""
+    if not (model.lo == model.hi == 1 and prompt.endswith("%s") and prompt.count("%s") == 2):
+        return False
+    before = prompt[:-2][-1:] if len(prompt) > 2 else ""
+    return bool(before) and not (before.isalnum() or before == "_")
+
+
 def render_map(m: F.Column) -> F.Column:
     """'k=v;k=v' text of a map, in its entry order (for comparison and display)."""
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")

@@ -98,9 +98,9 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, sentence with placeholder, aspect, sentiment code as text)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     labelled = lines(spark, sf_dir).join(labels, "doc_id")
-    hits = M.match_word(labelled, "sentence", ["doc_id", "line_no"], ranked_lexicon(spark, sf_dir))
-    main = M.main_aspect(hits, ["doc_id", "line_no"])
-    rows = labelled.join(main, ["doc_id", "line_no"])
+    carry = ["sentence", "quality", "toxic"]
+    hits = M.match_word(labelled, "sentence", ["doc_id", "line_no"], ranked_lexicon(spark, sf_dir), carry=carry)
+    rows = M.main_aspect(hits, ["doc_id", "line_no"], carry=carry)
     return rows.select(
         "doc_id",
         "line_no",

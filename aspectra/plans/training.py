@@ -48,11 +48,13 @@ class TextBayes:
         return FE.term_counts(rows, self.text, keys, self.lo, self.hi, carry=carry)
 
     def fit(self, train: DataFrame, label: str = "sentiment") -> "TextBayes":
-        tf = self.counts(train, carry=[label])
+        # The training term counts feed both the vocabulary and the class sums.
+        tf = self.counts(train, carry=[label]).persist()
         n_docs = train.select(F.count(F.lit(1))).scalar()
         self.vocab = FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES).checkpoint(eager=True)
         weights = FE.tfidf(tf, self.vocab, KEYS, carry=[label])
         self.model = B.fit(train, weights, self.vocab, label=label, alpha=self.alpha, vocab_bound=FE.MAX_FEATURES)
+        tf.unpersist()
         return self
 
     def weights(self, rows: DataFrame, keys=KEYS) -> DataFrame:

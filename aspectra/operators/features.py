@@ -89,23 +89,23 @@ def concat_pad(
 
 
 def encode_vocabulary(df: DataFrame, text_cols: Sequence[str], size: int) -> DataFrame:
-    """(word, id): the ``size`` most frequent whitespace words of the given text
-    columns (ties by word), ids after the special tokens."""
+    """(word, token_id): the ``size`` most frequent whitespace words of the given
+    text columns (ties by word), ids after the special tokens."""
     words = None
     for c in text_cols:
         part = df.select(F.explode(split_ws(F.col(c))).alias("word"))
         words = part if words is None else words.unionByName(part)
     top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(size)
     w = Window.orderBy(F.col("n").desc(), F.col("word"))  # over at most `size` rows
-    return top.select("word", (F.row_number().over(w) + UNK_ID).alias("id"))
+    return top.select("word", (F.row_number().over(w) + UNK_ID).alias("token_id"))
 
 
 def _ids(df: DataFrame, col: str, keys: Sequence[str], vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
     words = df.select(*keys, F.posexplode(split_ws(F.col(col))).alias("pos", "word"))
     v, _ = sized_broadcast(vocab, BROADCAST_VOCAB_ROWS, vocab_bound)
-    ided = words.join(v, "word", "left").select(*keys, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-    arr = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return ided.groupBy(*keys).agg(F.transform(arr, lambda e: e["id"]).alias(f"{col}_ids"))
+    ided = words.join(v, "word", "left").select(*keys, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("_tid"))
+    arr = F.array_sort(F.collect_list(F.struct("pos", "_tid")))
+    return ided.groupBy(*keys).agg(F.transform(arr, lambda e: e["_tid"]).alias(f"{col}_ids"))
 
 
 def encode_pairs(

@@ -3,7 +3,7 @@ concatenation and fixed-length pair encoding.
 
 Sparse throughout: a document is a set of (term, weight) rows, never a dense
 vector. Per-document aggregates (term counts, L2 norm) run after one
-hash-partitioning of the text rows by their first key, so the count, the norm
+hash-partitioning of the text rows by their key, so the count, the norm
 window and the later scoring aggregate reuse that partitioning instead of
 shuffling the much larger n-gram rows again.
 """
@@ -40,13 +40,32 @@ def term_counts(
     carry: Sequence[str] = (),
     cluster: bool = True,
 ) -> DataFrame:
-    """keys + carry + (term, tf): raw counts of the vectoriser's n-grams per row."""
-    src = df.repartition(keys[0]) if cluster else df
+    """keys + carry + (term, tf): raw counts of the vectoriser's n-grams per row.
+
+    The rows are hash-partitioned by their full key once (text, not n-grams,
+    crosses the network); the count per (key, term), the norm window per key
+    and the scoring aggregate per key are then all satisfied by that
+    partitioning. Partitioning by the whole key, not its first column, keeps
+    one very large document from landing in a single task."""
+    src = df.repartition(work_partitions(df), *keys) if cluster else df
     toks = src.select(*keys, *carry, vectorizer_tokens(F.col(text)).alias("_tok"))
     grams = toks.select(*keys, *carry, F.explode(ngrams(F.col("_tok"), lo, hi)).alias("term"))
     return grams.groupBy(*keys, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def work_partitions(df: DataFrame) -> int:
+    """Partition count for CPU-heavy per-row work: at least the input's, the
+    session's shuffle partitions and the task slots. Given explicitly, so that
+    adaptive coalescing (meant for light rows) does not fold tokenisation of
+    small-but-heavy inputs into a few tasks."""
+    spark = df.sparkSession
+    return max(
+        df.rdd.getNumPartitions(),
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+    )
+
+
 def fit_vocabulary(tf: DataFrame, n_docs: Column, max_features: int = MAX_FEATURES) -> DataFrame:
     """(term, idx, total, df, idf) for the ``max_features`` terms with the highest
     total count (ties by term); idx is the alphabetical position, idf the

@@ -152,14 +152,18 @@ def joint_log_likelihood_shared(
             *[F.sum(F.col("tf") * F.col("idf") * lp[i]).alias(f"_d{i}") for i in range(k)],
         )
     )
-    th = FE.term_counts(heads, head, hk, 1, 1).withColumnRenamed("tf", "tf_h").join(v, "term")
+    # Heads are read once: explode_outer keeps a head without tokens (term null),
+    # so the per-head aggregate already has one row for every head.
+    ht = heads.select(*hk, F.explode_outer(FE.vectorizer_tokens(F.col(head))).alias("term"))
+    th = ht.groupBy(*hk, "term").agg(F.count(F.lit(1)).alias("tf_h")).join(v, "term", "left")
     th = th.join(ts.select(*tk, "term", F.col("tf").alias("tf_s")), [*tk, "term"], "left").join(tv, "term", "left")
     tf_s = F.coalesce(F.col("tf_s"), F.lit(0))
+    idf = F.coalesce(F.col("idf"), F.lit(0.0))  # terms outside the vocabulary add nothing
     per_head = th.groupBy(*hk).agg(
-        F.sum(F.pow(F.col("idf"), 2) * (2 * tf_s * F.col("tf_h") + F.pow(F.col("tf_h"), 2))).alias("_c2"),
-        *[F.sum(F.col("tf_h") * F.col("idf") * lp[i]).alias(f"_e{i}") for i in range(k)],
+        F.sum(F.pow(idf, 2) * (2 * tf_s * F.col("tf_h") + F.pow(F.col("tf_h"), 2))).alias("_c2"),
+        *[F.sum(F.col("tf_h") * idf * lp[i]).alias(f"_e{i}") for i in range(k)],
     )
-    out = heads.select(*hk).join(per_head, hk, "left").join(per_text, tk, "left")
+    out = per_head.join(per_text, tk, "left")
     norm = F.sqrt(F.coalesce(F.col("_s2"), F.lit(0.0)) + F.coalesce(F.col("_c2"), F.lit(0.0)))
     priors = [float(r["log_prior"]) for r in model.prior.orderBy("cls").select("log_prior").collect()]
     dots = [

@@ -43,7 +43,8 @@ def stream_infer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _all_hits(spark: SparkSession, sf: str) -> DataFrame:
-    a, _ = _models(spark, sf)
+    train, _ = TR.split(TR.prepared(spark, sf))
+    a = TR.prompt_model(train)
     return INF.infer_all_hits(D.lines(spark, sf), M.lexicon_set(D.lexicon_lines(spark, sf)), a, "sentence", D.PROMPT_EN)
 
 

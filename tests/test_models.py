@@ -214,3 +214,52 @@ def test_encode_pairs_truncation(spark):
         ids, mask = enc[i]
         assert len(ids) == FE.MAX_LENGTH and sum(mask) == ka + kb + 4
         assert ids[0] == FE.BOS_ID and ids[ka + 1:ka + 3] == [FE.EOS_ID, FE.EOS_ID]
+
+
+def test_ml_naive_bayes_cross_check(spark, corpus):
+    """Spark ML's multinomial NaiveBayes smooths the likelihood exactly like ours;
+    its prior is smoothed too (ln(n_c + a) - ln(N + a C)), ours is not."""
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.functions import array_to_vector
+
+    alpha = 0.7
+    tf = FE.term_counts(corpus, "text", ["id"], 1, 1, carry=["label"])
+    n = corpus.select(F.count(F.lit(1))).scalar()
+    vocab = FE.fit_vocabulary(tf, n, 5000)
+    w = FE.tfidf(tf, vocab, ["id"], carry=["label"])
+    ours = B.fit(corpus, w, vocab, label="label", alpha=alpha)
+    v = vocab.count()
+    dense = (
+        corpus.select("id", "label")
+        .join(w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m")), "id", "left")
+        .select(
+            F.col("label").cast("double").alias("label"),
+            array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(v - 1)),
+                                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))).alias("features"),
+        )
+    )
+    ml = NaiveBayes(smoothing=alpha, modelType="multinomial").fit(dense)
+    theta = ml.theta.toArray()
+    idx = {r["term"]: r["idx"] for r in vocab.collect()}
+    for r in ours.term_lp.collect():
+        assert theta[r["cls"], idx[r["term"]]] == pytest.approx(r["log_prob"], rel=1e-9)
+    counts = Counter(c for _, _, c in CORPUS)
+    pi = ml.pi.toArray()
+    for c in sorted(counts):
+        assert pi[c] == pytest.approx(math.log(counts[c] + alpha) - math.log(len(CORPUS) + alpha * len(counts)))
+
+
+def test_same_result_for_1_and_8_partitions(spark):
+    from tests.conftest import SF001, rows
+    import __spark_entry__ as E
+
+    q = E.queries()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = {n: rows(q[n](spark, SF001)) for n in ("prepare_triples", "bootstrap_balance", "nb_predict")}
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        eight = {n: rows(q[n](spark, SF001)) for n in one}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == eight

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectra.functions.text import strip_ws
 from aspectra.operators import clauses as C
+from aspectra.operators import features as FE
 from aspectra.operators import match as M
 from aspectra.operators import prepare as P
 from aspectra.plans import tables as D
@@ -55,27 +56,34 @@ def read_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_tsv(spark, path, schema)
 
 
-@query("read_three_line")
-def read_three_line(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document written as its own text file, read back as three-line records."""
+def _raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as its own raw text file (one folder per doc_id),
+    then read back as numbered lines with the doc_id taken from the path."""
     docs = D.table(spark, sf, "documents").select("doc_id", "text")
     path = scratch_path(spark, "raw")
-    docs.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
-    lines = S.numbered_lines(spark, path)
-    lines = lines.withColumn("doc_id", F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint"))
-    records, _ = S.three_line_records(lines, ["doc_id"])
+    docs.repartition(FE.work_partitions(docs), "doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+    key = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    old = spark.conf.get(key)
+    # One folder per document: list them on the driver instead of a listing job per folder.
+    spark.conf.set(key, "1000000")
+    try:
+        lines = S.numbered_lines(spark, path)
+    finally:
+        spark.conf.set(key, old)
+    return lines.withColumn("doc_id", F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint"))
+
+
+@query("read_three_line")
+def read_three_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files read back as three-line records."""
+    records, _ = S.three_line_records(_raw_files(spark, sf), ["doc_id"])
     return records
 
 
 @query("three_line_rejects")
 def three_line_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """S1 rejects: trailing groups with fewer than three lines."""
-    docs = D.table(spark, sf, "documents").select("doc_id", "text")
-    path = scratch_path(spark, "raw")
-    docs.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
-    lines = S.numbered_lines(spark, path)
-    lines = lines.withColumn("doc_id", F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint"))
-    _, rejects = S.three_line_records(lines, ["doc_id"])
+    _, rejects = S.three_line_records(_raw_files(spark, sf), ["doc_id"])
     return rejects.select("doc_id", "rec_no", "n_lines", "sentence")
 
 

@@ -45,9 +45,11 @@ def infer_aspects(
 ) -> DataFrame:
     """keys + (aspect, pred_a, pred_b, final, sentiment) for every clause with an aspect."""
     k = list(keys)
+    # Both models read the clause-level aspects: compute them once (checkpoint in
+    # the shared folder) instead of matching every clause twice.
     main = main_aspects(clauses, lexicon, k).withColumn(
         "prompt", C.aspect_prompt(F.col("aspect"), F.col("clause"), prompt)
-    )
+    ).checkpoint(eager=True)
     a = model_a.scores(main.select(*k, F.col("prompt").alias(model_a.text), "aspect"), k, carry=["aspect"])
     a = a.select(*k, "aspect", V.softmax(F.col("scores")).alias("proba_a"))
     a = a.withColumn("pred_a", V.element(F.array(*[F.lit(c) for c in model_a.model.classes]), V.argmax(F.col("proba_a"))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra.functions.text import strip_ws
+from aspectra.operators import balance as BL
 from aspectra.operators import clauses as C
 from aspectra.operators import features as FE
 from aspectra.operators import match as M
@@ -29,9 +30,12 @@ def lexicon_set(spark: SparkSession, sf: str) -> DataFrame:
 @query("lexicon_ranked")
 def lexicon_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Lower-cased distinct lexicon, longest first (rank over a bounded table)."""
-    lex = D.ranked_lexicon(spark, sf)
-    w = Window.orderBy(F.col("kw_len").desc(), F.col("keyword"))
-    return lex.select("keyword", "kw_len", "kw_first", F.row_number().over(w).alias("rank_no"))
+    lex = D.ranked_lexicon(spark, sf).select("keyword", "kw_len", "kw_first")
+    # Rank without a single-task window: buckets follow the order (longest first,
+    # then by the first characters), ranks inside buckets plus earlier bucket sizes.
+    bucket = F.struct(-F.col("kw_len"), F.substring("keyword", 1, 2))
+    ranked = BL.ordered_index(lex, [], bucket, [F.col("kw_len").desc(), F.col("keyword")], "rank0")
+    return ranked.select("keyword", "kw_len", "kw_first", (F.col("rank0") + 1).alias("rank_no"))
 
 
 @query("valid_triples")

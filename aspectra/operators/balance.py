@@ -26,6 +26,9 @@ BROADCAST_OFFSET_ROWS = 1_000_000
 BROADCAST_SYNONYM_ROWS = 2_000_000
 # Draws per task when generating bootstrap slots.
 SLOTS_PER_TASK = 1_000_000
+# Classes up to this size are joined to their draws by broadcast (no hot keys).
+SMALL_CLASS_ROWS = 1_000_000
+BROADCAST_CLASS_ROWS = 4_000_000
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -81,7 +84,21 @@ def bootstrap(
         element(counts, ci).alias("_n"),
     )
     draws = draws.select("_cls", "slot", (portable_hash(seed, F.col("_cls"), F.col("slot")) % F.col("_n")).alias("_pick"))
-    joined = draws.join(indexed, (F.col("_cls") == F.col(label)) & (F.col("_pick") == F.col("idx")))
+    cond = (F.col("_cls") == F.col(label)) & (F.col("_pick") == F.col("idx"))
+    # A small class is drawn many times per row: its (class, index) keys would be
+    # hot in a shuffled join. Its rows (at most SMALL_CLASS_ROWS each, sizes are
+    # known) are broadcast instead; large classes keep the shuffled join, where
+    # each index is drawn only max/n_c times.
+    small = [c for c, n in sizes if n <= SMALL_CLASS_ROWS]
+    large = [c for c, n in sizes if n > SMALL_CLASS_ROWS]
+    pieces = []
+    if small:
+        bound = sum(n for c, n in sizes if c in small)
+        rows, _ = sized_broadcast(indexed.where(F.col(label).isin(small)), BROADCAST_CLASS_ROWS, bound)
+        pieces.append(draws.where(F.col("_cls").isin(small)).join(rows, cond))
+    if large:
+        pieces.append(draws.where(F.col("_cls").isin(large)).join(indexed.where(F.col(label).isin(large)), cond))
+    joined = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
     return joined.drop("_cls", "_pick", "idx")
 
 

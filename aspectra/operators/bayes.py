@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from aspectra.functions import vectors as V
 from aspectra.operators.match import sized_broadcast
+from aspectra.session import checkpoint
 
 # Largest term table broadcast for scoring (vocabulary x classes rows).
 BROADCAST_TERM_ROWS = 5_000_000
@@ -82,7 +83,7 @@ def fit(
     )
     # The model tables are small (classes x vocabulary); materialise them once so
     # that scoring, however often it runs, never recomputes the fit.
-    return NBModel(classes, prior.checkpoint(eager=True), term_lp.checkpoint(eager=True), vocab_bound)
+    return NBModel(classes, checkpoint(prior), checkpoint(term_lp), vocab_bound)
 
 
 def joint_log_likelihood(

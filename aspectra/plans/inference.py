@@ -24,6 +24,7 @@ from aspectra.operators import features as FE
 from aspectra.operators import match as M
 from aspectra.operators import prepare as P
 from aspectra.plans.training import TextBayes
+from aspectra.session import checkpoint
 
 CKEYS = ["doc_id", "line_no", "clause_no"]
 # Vote thresholds of the two-model rule.
@@ -47,9 +48,9 @@ def infer_aspects(
     k = list(keys)
     # Both models read the clause-level aspects: compute them once (checkpoint in
     # the shared folder) instead of matching every clause twice.
-    main = main_aspects(clauses, lexicon, k).withColumn(
-        "prompt", C.aspect_prompt(F.col("aspect"), F.col("clause"), prompt)
-    ).checkpoint(eager=True)
+    main = checkpoint(
+        main_aspects(clauses, lexicon, k).withColumn("prompt", C.aspect_prompt(F.col("aspect"), F.col("clause"), prompt))
+    )
     a = model_a.scores(main.select(*k, F.col("prompt").alias(model_a.text), "aspect"), k, carry=["aspect"])
     a = a.select(*k, "aspect", V.softmax(F.col("scores")).alias("proba_a"))
     a = a.withColumn("pred_a", V.element(F.array(*[F.lit(c) for c in model_a.model.classes]), V.argmax(F.col("proba_a"))))

@@ -18,13 +18,14 @@ from aspectra.operators import clauses as C
 from aspectra.operators import features as FE
 from aspectra.operators import prepare as P
 from aspectra.plans import tables as D
+from aspectra.session import checkpoint
 
 KEYS = ["doc_id", "line_no"]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared checkpoint folder."""
-    return df.checkpoint(eager=True)
+    return checkpoint(df)
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +52,7 @@ class TextBayes:
         # The training term counts feed both the vocabulary and the class sums.
         tf = self.counts(train, carry=[label]).persist()
         n_docs = train.select(F.count(F.lit(1))).scalar()
-        self.vocab = FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES).checkpoint(eager=True)
+        self.vocab = checkpoint(FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES))
         weights = FE.tfidf(tf, self.vocab, KEYS, carry=[label])
         self.model = B.fit(train, weights, self.vocab, label=label, alpha=self.alpha, vocab_bound=FE.MAX_FEATURES)
         tf.unpersist()

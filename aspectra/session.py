@@ -67,3 +67,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *keys)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (lineage cut) into the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

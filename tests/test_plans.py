@@ -39,4 +39,4 @@ def test_cleaning_regexes_evaluated_once(spark):
     # one cleaning chain (four nested regexes) for the sentence and one for the
     # aspect; pushed-down filters must not repeat them
     assert plan.count("regexp_replace(f") == 2
-    assert plan.count("regexp_replace(") == 8
+    assert plan.count("\\*+") == 2

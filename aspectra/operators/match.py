@@ -34,6 +34,20 @@ def sized_broadcast(df: DataFrame, max_rows: int, bound: int | None = None) -> t
     return df, False
 
 
+# Salts for shuffled lexicon joins (large-lexicon paths): a hot token or prefix
+# is spread over this many tasks; the lexicon side is replicated as many times.
+JOIN_SALTS = 16
+
+
+def salted_join(rows: DataFrame, lexicon: DataFrame, on: str, salt_cols: Sequence[str], salts: int = JOIN_SALTS) -> DataFrame:
+    """Shuffled equi-join on ``on`` with the row side salted by a hash of
+    ``salt_cols`` and the lexicon side replicated over all salts, so one hot key
+    value (a very common first token) does not end up in a single task."""
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)))
+    salted_lex = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_rows.join(salted_lex, [on, "_salt"]).drop("_salt")
+
+
 def lexicon_set(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lexicon as loaded for substring matching: distinct phrases, case kept."""
     return lines.select(F.col(col).alias("keyword")).where(F.col("keyword").isNotNull()).distinct()
@@ -87,7 +101,8 @@ def _match_substring_by_prefix(
             *keys, *carry, F.col(text).alias("_text"), F.explode(grams).alias("_gram")
         )
         lk = lex.where(F.col("_k") == k).select("keyword", F.substring("keyword", 1, k).alias("_gram"))
-        part = side.join(lk, "_gram").where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
+        part = salted_join(side, lk, "_gram", keys)
+        part = part.where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -110,17 +125,16 @@ def match_word(
     keyword's first run; the exact test is containment of the token-marked
     keyword in the token-marked text. Output: keys + carry + keyword, kw_len.
     """
-    lex, _ = sized_broadcast(lexicon.select("keyword", "kw_len", "kw_marked", "kw_first"), max_broadcast_rows)
+    lex, small = sized_broadcast(lexicon.select("keyword", "kw_len", "kw_marked", "kw_first"), max_broadcast_rows)
     low = F.lower(F.col(text))
     # Mark once per row, then explode: a marked text computed after the
     # explode would be rebuilt for every token of the row.
     marked = df.select(*keys, *carry, mark_tokens(low).alias("_marked"), word_runs(low).alias("_runs"))
     rows = marked.select(*keys, *carry, "_marked", F.explode(F.array_distinct("_runs")).alias("kw_first"))
-    return (
-        rows.join(lex, "kw_first")
-        .where(F.contains(F.col("_marked"), F.col("kw_marked")))
-        .select(*keys, *carry, "keyword", "kw_len")
-    )
+    # Broadcast lexicon: hash join in every task. Otherwise a shuffled join whose
+    # hot first tokens are salted.
+    joined = rows.join(lex, "kw_first") if small else salted_join(rows, lex, "kw_first", keys)
+    return joined.where(F.contains(F.col("_marked"), F.col("kw_marked"))).select(*keys, *carry, "keyword", "kw_len")
 
 
 def main_aspect(hits: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:

@@ -96,3 +96,12 @@ def test_aspect_map_is_sorted_per_row(spark):
     assert m == {0: {"a": "positive", "b": "neutral"}, 1: {"c": "negative"}}
     assert list(M.aspect_map(df, ["row"]).where("row = 0").first()["aspect_map"].keys()) == ["a", "b"]
     assert F is not None
+
+
+def test_word_match_large_lexicon_path_equals_broadcast_path(spark):
+    df = spark.createDataFrame(list(enumerate(SENTENCES)), "row bigint, sentence string")
+    lex = M.lexicon_ranked(spark.createDataFrame([(k,) for k in LEXICON + ["thân thiện", "khá", "rất"]], "value string"))
+    small = M.match_word(df, "sentence", ["row"], lex)
+    large = M.match_word(df, "sentence", ["row"], lex, max_broadcast_rows=1)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assert small.count() > 20

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from aspectra.session import scratch_path
@@ -71,4 +68,3 @@ def test_stream_equals_batch(spark):
     batch = qs["infer_aspects"](spark, SF001)
     stream = qs["stream_infer"](spark, SF001)
     assert rows(batch) == rows(stream.select(*batch.columns))
-    assert os.path.isdir(tempfile.gettempdir())

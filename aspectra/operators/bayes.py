@@ -11,10 +11,12 @@ not used here; the formulas above are the ones the reference pipeline relies on.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aspectra.functions import vectors as V
 from aspectra.operators.match import sized_broadcast
@@ -30,6 +32,13 @@ class NBModel:
     prior: DataFrame  # cls, n, log_prior
     term_lp: DataFrame  # term, cls, log_prob
     n_terms: int | None = None  # vocabulary size when known
+    priors: list[float] | None = None  # log priors in class order, when known
+
+    def log_priors(self) -> list[float]:
+        if self.priors is None:
+            # At most a handful of rows (one per class).
+            self.priors = [float(r["log_prior"]) for r in self.prior.orderBy("cls").select("log_prior").collect()]
+        return self.priors
 
     def term_vectors(self) -> DataFrame:
         """(term, lp ARRAY<DOUBLE>) with one element per class, in class order."""
@@ -58,11 +67,26 @@ def fit(
 ) -> NBModel:
     """rows: one row per training document with ``label``; weights: TF-IDF rows
     (term, weight) carrying the same ``label``; vocab: (term, ...)."""
-    counts = rows.groupBy(F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    # The class list is at most a handful of rows.
-    classes = sorted(r["cls"] for r in counts.select("cls").collect())
-    n_total = rows.select(F.count(F.lit(1))).scalar()
-    prior = counts.select("cls", "n", F.log(F.col("n") / n_total).alias("log_prior"))
+    # One row per class: the class sizes are collected once and the prior table is
+    # built from them (no further job to compute or materialise it).
+    sizes = sorted(
+        (r["cls"], r["n"])
+        for r in rows.where(F.col(label).isNotNull())
+        .groupBy(F.col(label).alias("cls"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    classes = [c for c, _ in sizes]
+    n_total = sum(n for _, n in sizes)
+    priors = [math.log(n / n_total) for _, n in sizes]
+    schema = T.StructType(
+        [
+            T.StructField("cls", rows.schema[label].dataType),
+            T.StructField("n", T.LongType()),
+            T.StructField("log_prior", T.DoubleType()),
+        ]
+    )
+    prior = rows.sparkSession.createDataFrame([(c, n, p) for (c, n), p in zip(sizes, priors)], schema)
 
     fc = weights.groupBy(F.col(label).alias("cls"), "term").agg(F.sum("weight").alias("fc"))
     totals = fc.groupBy("cls").agg(F.sum("fc").alias("fc_total"))
@@ -83,7 +107,7 @@ def fit(
     )
     # The model tables are small (classes x vocabulary); materialise them once so
     # that scoring, however often it runs, never recomputes the fit.
-    return NBModel(classes, checkpoint(prior), checkpoint(term_lp), vocab_bound)
+    return NBModel(classes, prior, checkpoint(term_lp), vocab_bound, priors)
 
 
 def joint_log_likelihood(
@@ -107,8 +131,7 @@ def joint_log_likelihood(
             *[F.max(c).alias(c) for c in carry],
         )
     )
-    # At most a handful of rows (one per class).
-    priors = [float(r["log_prior"]) for r in model.prior.orderBy("cls").select("log_prior").collect()]
+    priors = model.log_priors()
     scores = F.array(*[F.lit(priors[i]) + F.col(f"_d{i}") for i in range(k)])
     return dots.select(*keys, *carry, scores.alias("scores"))
 
@@ -166,7 +189,7 @@ def joint_log_likelihood_shared(
     )
     out = per_head.join(per_text, tk, "left")
     norm = F.sqrt(F.coalesce(F.col("_s2"), F.lit(0.0)) + F.coalesce(F.col("_c2"), F.lit(0.0)))
-    priors = [float(r["log_prior"]) for r in model.prior.orderBy("cls").select("log_prior").collect()]
+    priors = model.log_priors()
     dots = [
         F.when(norm > 0, (F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + F.coalesce(F.col(f"_e{i}"), F.lit(0.0))) / norm)
         .otherwise(F.lit(0.0))

@@ -22,6 +22,11 @@ def _fitted(spark: SparkSession, sf: str):
     return train, test, TR.bayes_model(train)
 
 
+def _vocab(spark: SparkSession, sf: str):
+    train, test = TR.split(TR.prepared(spark, sf))
+    return train, test, TR.bayes_vocabulary(train)
+
+
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     _, test, nb = _fitted(spark, sf)
     scored = nb.scores(test, carry=["sentiment"])
@@ -46,21 +51,21 @@ def ngrams(spark: SparkSession, sf: str) -> DataFrame:
 @query("vocabulary")
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """top 5000 1-4-grams by total count, alphabetical index."""
-    _, _, nb = _fitted(spark, sf)
+    _, _, nb = _vocab(spark, sf)
     return nb.vocab.select("term", "idx", "total", "df")
 
 
 @query("idf")
 def idf(spark: SparkSession, sf: str) -> DataFrame:
     """smoothed idf of the vocabulary."""
-    _, _, nb = _fitted(spark, sf)
+    _, _, nb = _vocab(spark, sf)
     return nb.vocab.select("term", "idf")
 
 
 @query("tfidf")
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     """L2-normalised TF-IDF of the hold-out sentences."""
-    _, test, nb = _fitted(spark, sf)
+    _, test, nb = _vocab(spark, sf)
     return nb.weights(test).select(*KEYS, "term", "weight")
 
 

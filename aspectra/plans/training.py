@@ -48,11 +48,17 @@ class TextBayes:
     def counts(self, rows: DataFrame, keys=KEYS, carry=()) -> DataFrame:
         return FE.term_counts(rows, self.text, keys, self.lo, self.hi, carry=carry)
 
+    def fit_vocabulary(self, train: DataFrame, tf: DataFrame | None = None) -> "TextBayes":
+        """Vocabulary and idf only (what a TF-IDF transform needs)."""
+        tf = tf if tf is not None else self.counts(train)
+        n_docs = train.select(F.count(F.lit(1))).scalar()
+        self.vocab = checkpoint(FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES))
+        return self
+
     def fit(self, train: DataFrame, label: str = "sentiment") -> "TextBayes":
         # The training term counts feed both the vocabulary and the class sums.
         tf = self.counts(train, carry=[label]).persist()
-        n_docs = train.select(F.count(F.lit(1))).scalar()
-        self.vocab = checkpoint(FE.fit_vocabulary(tf, n_docs, FE.MAX_FEATURES))
+        self.fit_vocabulary(train, tf)
         weights = FE.tfidf(tf, self.vocab, KEYS, carry=[label])
         self.model = B.fit(train, weights, self.vocab, label=label, alpha=self.alpha, vocab_bound=FE.MAX_FEATURES)
         tf.unpersist()
@@ -73,5 +79,9 @@ def bayes_model(train: DataFrame) -> TextBayes:
     return TextBayes("sentence", 1, 4, 1.0).fit(train)
 
 
+def bayes_vocabulary(train: DataFrame) -> TextBayes:
+    return TextBayes("sentence", 1, 4, 1.0).fit_vocabulary(train)
+
+
 def prompt_model(train: DataFrame) -> TextBayes:
     return TextBayes("prompt", 1, 1, 0.1).fit(with_prompt(train))

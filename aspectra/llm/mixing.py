@@ -20,7 +20,6 @@ with the same decision; an empty table stays empty; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +38,19 @@ def tokens(text: Column) -> Column:
     return F.greatest(words, F.lit(1)).cast("double")
 
 
+def occurrences(text: Column, marker: str) -> Column:
+    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)
+
+
 def topic(text: Column, topics: Mapping[str, Sequence[str]], other: str = "general") -> Column:
-    """The topic whose markers (patterns, A-Z lower-cased) occur most often in the text; ties go to
+    """The topic whose markers (plain strings, as written) occur most often in the text; ties go to
     the first named, none is ``other``."""
-    low = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
-    counts = [F.regexp_count(low, F.lit("|".join(markers))) for markers in topics.values()]
-    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    out = F.lit(other)
-    for name, n in reversed(list(zip(topics, counts))):
-        out = F.when((n == most) & (n > 0), F.lit(name)).otherwise(out)
-    return out
+    whole = F.coalesce(text, F.lit(""))
+    counts = [sum((occurrences(whole, m) for m in markers), F.lit(0)) for markers in topics.values()]
+    # One array, made once per row; the first of the greatest counts names the topic.
+    held, names = F.array(*counts), F.array(*[F.lit(n) for n in topics])
+    first = F.transform(F.array(held), lambda c: F.when(F.array_max(c) > 0, F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)))
+    return F.coalesce(F.get(first, 0), F.lit(other))
 
 
 def targets(cells: DataFrame, col: str, wanted: Mapping[str, float] | None, power: float) -> DataFrame:

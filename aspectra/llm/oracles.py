@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from aspectra.llm.mixing import ROUNDS, SEED
-from aspectra.llm.queries import MIX_KEEP, MIX_TARGETS, SEGMENT_TOPICS
+from aspectra.llm.queries import MIX_KEEP, MIX_TARGETS, TOPICS
 
 WHITE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -65,12 +65,12 @@ FROM embeddings x LEFT JOIN c USING (vec_id) LEFT JOIN g USING (vec_id)
 """
 
 
-def _count(pattern: str) -> str:
-    return f"len(regexp_extract_all(low, '{pattern}'))"
+def _count(markers) -> str:
+    return "(" + " + ".join(f"(length(whole) - length(replace(whole, '{m}', ''))) / {len(m)}" for m in markers) + ")"
 
 
 def op5() -> str:
-    counts = {name: _count("|".join(markers)) for name, markers in SEGMENT_TOPICS.items()}
+    counts = {name: _count(markers) for name, markers in TOPICS.items()}
     most = "greatest(" + ", ".join(counts.values()) + ")"
     topic = "CASE " + " ".join(f"WHEN {n} > 0 AND {n} = {most} THEN '{name}'" for name, n in counts.items()) + " ELSE 'general' END"
     steps = [
@@ -78,7 +78,7 @@ def op5() -> str:
   SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {topic} AS topic,
          CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS DOUBLE) AS tokens,
          ('0x' || substr(md5('mix|{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '(null)')), 1, 8))::BIGINT / 4294967296.0 AS draw
-  FROM (SELECT *, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents))""",
+  FROM (SELECT *, coalesce(text, '') AS whole FROM documents))""",
         "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM base GROUP BY ALL)",
         "w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)",
     ]

@@ -12,11 +12,11 @@ from aspectra.llm.common import read_table
 from aspectra.llm.tokens import vocabulary_path
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
-SEGMENT_TOPICS = {
-    "code": (r"def |return |import |[{};]",),
-    "legal": ("license", "copyright", "warranty"),
-    "web": ("http", r"www\.", "@"),
-    "table": (r"\|",),
+TOPICS = {
+    "code": ("def ", "return ", "import ", "{", "}", ";"),
+    "legal": ("icense", "opyright", "arranty"),
+    "web": ("http", "www.", "@"),
+    "table": ("|",),
 }
 MIX_TARGETS = {
     "source": None,  # present shares to the power 0.5: large sources down, small ones up
@@ -48,7 +48,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, keep: float = MIX_KEEP) -> DataFrame:
-    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), SEGMENT_TOPICS)}
+    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), TOPICS)}
     return mixing.mix(docs, MIX_TARGETS, columns, mixing.tokens(F.col("text")), keep=keep)
 
 

@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 
 OTHER_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
 RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -40,6 +40,34 @@ def cut_words(text: str) -> list[str]:
 CUTS = {"words": cut_words, "spaced": cut_spaced, "whole": lambda t: [t]}
 
 
+JOINED = 100
+MARKS = frozenset(".,;:!?")
+
+
+def _tail(piece: str) -> list[str]:
+    """A mark after an ASCII letter or digit is a pre-token of its own under both rules below."""
+    if len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalnum():
+        return [piece[:-1], piece[-1]]
+    return [piece]
+
+
+def parts_of_word(piece: str) -> list[str]:
+    """The tokenizer lower-cases; only ASCII is left to Python's idea of that."""
+    return _tail(piece.lower()) if piece.isascii() else [piece]
+
+
+def parts_of_spaced(piece: str) -> list[str]:
+    """A newline before anything but white space is a pre-token of its own."""
+    if not piece.isascii():
+        return [piece]
+    if len(piece) > 1 and piece[0] == "\n" and not piece[1].isspace():
+        return ["\n", *_tail(piece[1:])]
+    return _tail(piece)
+
+
+PARTS = {"words": parts_of_word, "spaced": parts_of_spaced, "whole": None}
+
+
 class Encoder:
     def __init__(self, path: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,10 +75,30 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut = CUTS[pieces]
+        self.cut, self.parts = CUTS[pieces], PARTS[pieces]
         self.dtype = id_dtype(self.tok.get_vocab_size())
         self.keep = pieces != "whole"
         self.cache: dict[str, bytes] = {}
+        # Where words of ASCII letters stand in one text, a token's own form shows where each begins or ends.
+        self.lead = " " if pieces == "spaced" else ""
+        self.mark = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, k in self.tok.get_vocab().items():
+            self.mark[k] = token.startswith("\u0120") if self.lead else token.endswith("</w>")
+
+    def _encode_joined(self, words: list[str]) -> None:
+        """Encode many words in one text; a group whose tokens don't fall into its words stays for later."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        texts = [("" if self.lead else " ").join(g) for g in groups]
+        for group, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.mark[ids])
+            if len(at) != len(group):
+                continue
+            ends = np.append(at[1:], len(ids)) if self.lead else at + 1
+            packed, width, a = ids.tobytes(), ids.itemsize, 0
+            for word, z in zip(group, ends.tolist()):
+                self.cache[word] = packed[a * width : z * width]
+                a = z
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the text as packed little-endian integers of ``dtype``."""
@@ -66,11 +114,18 @@ class Encoder:
             pass
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        new = list(set(parts).difference(cache))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        # New pieces are put together from parts that many of them share.
+        new = {piece: self.parts(piece) for piece in set(parts).difference(cache)}
+        lack = list({x for xs in new.values() for x in xs}.difference(cache))
+        plain = [x for x in lack if x.isascii() and (x.isalpha() if self.lead == "" else x.startswith(" ") and x[1:].isalpha())]
+        self._encode_joined(plain)
+        rest = [x for x in lack if x not in cache]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
             for piece, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
                 cache[piece] = np.array(e.ids, self.dtype).tobytes()
+        for piece, xs in new.items():
+            cache[piece] = cache[xs[0]] if len(xs) == 1 else b"".join([cache[x] for x in xs])
         return b"".join(map(cache.__getitem__, parts))
 
 

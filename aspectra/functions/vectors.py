@@ -16,22 +16,28 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas get it as a variable,
+    where an expression inside a lambda would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shares(arr: Column) -> Column:
+    return _bind(arr, lambda a: _bind(_sum(a), lambda total: F.transform(a, lambda x: x / total)))
+
+
 def softmax(scores: Column) -> Column:
     """exp(s - max) / sum, the max subtracted for stability."""
-    m = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - m))
-    total = _sum(e)
-    return F.transform(e, lambda x: x / total)
+    return _bind(scores, lambda s: _bind(F.array_max(s), lambda m: _shares(F.transform(s, lambda x: F.exp(x - m)))))
 
 
 def log_sum_exp(scores: Column) -> Column:
-    m = F.array_max(scores)
-    return m + F.log(_sum(F.transform(scores, lambda x: F.exp(x - m))))
+    return _bind(scores, lambda s: _bind(F.array_max(s), lambda m: m + F.log(_sum(F.transform(s, lambda x: F.exp(x - m))))))
 
 
 def argmax(scores: Column) -> Column:
     """0-based index of the largest element; the first one on ties."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return _bind(scores, lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def element(arr: Column, index0: Column) -> Column:
@@ -41,9 +47,7 @@ def element(arr: Column, index0: Column) -> Column:
 
 def fuse_weighted(p_a: Column, p_b: Column, w_a: float = 0.8, w_b: float = 0.2) -> Column:
     """w_a * p_a + w_b * p_b per class, renormalised to sum to 1."""
-    mixed = F.zip_with(p_a, p_b, lambda a, b: F.lit(w_a) * a + F.lit(w_b) * b)
-    total = _sum(mixed)
-    return F.transform(mixed, lambda x: x / total)
+    return _shares(F.zip_with(p_a, p_b, lambda a, b: F.lit(w_a) * a + F.lit(w_b) * b))
 
 
 def fuse_vote(

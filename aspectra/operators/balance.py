@@ -67,6 +67,7 @@ def bootstrap(
     the input columns + ``slot``. Deterministic and exact; ``sample`` is neither.
     """
     spark = df.sparkSession
+    df = df.where(F.col(label).isNotNull())  # a row without a class belongs to none
     h = portable_hash("row", seed, *[F.col(k) for k in keys])
     indexed = ordered_index(df, [label], hash_bucket(n_buckets, "row", seed, *[F.col(k) for k in keys]), [h, *keys])
     sizes = sorted((r[label], r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect())

@@ -107,16 +107,24 @@ def concat_pad(
     return out.where((F.col("pos") < width) & (F.col("value") != 0.0))
 
 
-def encode_vocabulary(df: DataFrame, text_cols: Sequence[str], size: int) -> DataFrame:
-    """(word, token_id): the ``size`` most frequent whitespace words of the given
-    text columns (ties by word), ids after the special tokens."""
+def encode_vocabulary(df: DataFrame, text_cols: Sequence[str], size: int | None = None) -> DataFrame:
+    """(word, token_id): every whitespace word of the given text columns, most
+    frequent first (ties by word), ids after the special tokens. ``size`` keeps
+    only that many; other words are then encoded as unknown."""
     words = None
     for c in text_cols:
         part = df.select(F.explode(split_ws(F.col(c))).alias("word"))
         words = part if words is None else words.unionByName(part)
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(size)
-    w = Window.orderBy(F.col("n").desc(), F.col("word"))  # over at most `size` rows
-    return top.select("word", (F.row_number().over(w) + UNK_ID).alias("token_id"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if size is not None:
+        counts = counts.orderBy(F.col("n").desc(), "word").limit(size)
+    # Ranked within each count, then moved behind the words of all larger counts:
+    # one row per distinct count, however large the vocabulary.
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("word"))
+    before = F.sum("words").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = counts.withColumn("rank", rank).join(sizes, "n")
+    return placed.select("word", (F.col("before") + F.col("rank") + UNK_ID).cast("int").alias("token_id"))
 
 
 def _ids(df: DataFrame, col: str, keys: Sequence[str], vocab: DataFrame, vocab_bound: int | None) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.functions.text import mark_tokens, word_runs
+from aspectra.functions.text import MARK, mark_tokens, word_runs
 
 # Largest lexicon (rows) that is broadcast to every task.
 BROADCAST_LEXICON_ROWS = 200_000
@@ -55,14 +55,26 @@ def lexicon_set(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def lexicon_ranked(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lexicon as loaded for whole-word matching: lower-cased, distinct, with the
-    columns used for matching and for the longest-first order."""
+    columns used for matching and for the longest-first order.
+
+    Token marks stand exactly at word boundaries, so a keyword with a mark at
+    either end is found where a boundary search finds it, also if the keyword
+    begins or ends with punctuation; an empty keyword is found at any boundary.
+    ``kw_first`` is the first word run, empty if there is none.
+    """
     kw = lines.select(F.lower(F.col(col)).alias("keyword")).where(F.col("keyword").isNotNull()).distinct()
+    marked = mark_tokens(F.col("keyword"))
+    begun = F.when(F.startswith(marked, F.lit(MARK)), marked).otherwise(F.concat(F.lit(MARK), marked))
+    ended = F.when(F.endswith(begun, F.lit(MARK)), begun).otherwise(F.concat(begun, F.lit(MARK)))
     return kw.select(
         "keyword",
         F.char_length("keyword").alias("kw_len"),
-        mark_tokens(F.col("keyword")).alias("kw_marked"),
-        F.try_element_at(word_runs(F.col("keyword")), F.lit(1)).alias("kw_first"),
-    ).where(F.col("kw_first").isNotNull())
+        ended.alias("kw_marked"),
+        F.coalesce(F.try_element_at(word_runs(F.col("keyword")), F.lit(1)), F.lit("")).alias("kw_first"),
+    )
+
+
+PREFIX = 3  # characters of a keyword that candidates are found by
 
 
 def match_substring(
@@ -74,41 +86,36 @@ def match_substring(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """All (row, keyword) pairs where the keyword occurs as a substring of the
-    text, case-sensitive. Output: keys + carry + keyword."""
-    lex, small = sized_broadcast(lexicon.select("keyword"), max_broadcast_rows)
+    text, case-sensitive. Output: keys + carry + keyword.
+
+    Candidates come from an equi-join of the text's distinct grams of 0 to
+    ``PREFIX`` characters with the keyword's first characters (all of them, if it
+    has fewer; the empty keyword is in every text), followed by the exact test.
+    A lexicon beyond the broadcast bound gets only (keys, gram) of each row
+    through the shuffle; the text is joined to the candidates afterwards.
+    """
+    prefix = F.substring("keyword", 1, PREFIX)
+    lex, small = sized_broadcast(lexicon.select("keyword", prefix.alias("_gram")), max_broadcast_rows)
+    grams = F.explode(_prefix_grams(F.col(text))).alias("_gram")
+    rows = df.select(*keys, *carry, F.col(text).alias("_text"))
     if small:
-        rows = df.select(*keys, *carry, F.col(text).alias("_text"))
-        return rows.join(lex, F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
-    return _match_substring_by_prefix(df, text, keys, lexicon, carry)
+        found = rows.select("*", F.explode(_prefix_grams(F.col("_text"))).alias("_gram")).join(lex, "_gram")
+    else:
+        found = salted_join(df.select(*keys, grams), lex, "_gram", keys).drop("_gram").join(rows, list(keys))
+    return found.where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
 
 
-def _match_substring_by_prefix(
-    df: DataFrame, text: str, keys: Sequence[str], lexicon: DataFrame, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Large-lexicon path: candidate equi-join on the keyword's first k characters
-    (k = min(3, length)) against the text's distinct k-character substrings,
-    then the exact containment test."""
-    lex = lexicon.select("keyword").withColumn("_k", F.least(F.char_length("keyword"), F.lit(3)))
-    out = None
-    for k in (1, 2, 3):
-        grams = F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.char_length(F.col(text)) - (k - 1), F.lit(1))),
-                _substring_at(F.col(text), k),
-            )
-        )
-        side = df.where(F.char_length(F.col(text)) >= k).select(
-            *keys, *carry, F.col(text).alias("_text"), F.explode(grams).alias("_gram")
-        )
-        lk = lex.where(F.col("_k") == k).select("keyword", F.substring("keyword", 1, k).alias("_gram"))
-        part = salted_join(side, lk, "_gram", keys)
-        part = part.where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _substring_at(text, k: int):
-    return lambda i: F.substring(text, i, k)
+def _prefix_grams(text: Column) -> Column:
+    """Distinct substrings of 0 to ``PREFIX`` characters, in time linear in the text."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    grams = [F.array(F.lit("")), chars]
+    for k in range(2, PREFIX + 1):
+        shifted = [F.slice(chars, i + 1, F.greatest(F.size(chars) - (k - 1), F.lit(0))) for i in range(k)]
+        joined = shifted[0]
+        for nxt in shifted[1:]:
+            joined = F.zip_with(joined, nxt, lambda a, b: F.concat(a, b))
+        grams.append(joined)
+    return F.array_distinct(F.concat(*grams))
 
 
 def match_word(
@@ -130,7 +137,9 @@ def match_word(
     # Mark once per row, then explode: a marked text computed after the
     # explode would be rebuilt for every token of the row.
     marked = df.select(*keys, *carry, mark_tokens(low).alias("_marked"), word_runs(low).alias("_runs"))
-    rows = marked.select(*keys, *carry, "_marked", F.explode(F.array_distinct("_runs")).alias("kw_first"))
+    # The empty run stands for keywords without a word run.
+    runs = F.array_distinct(F.concat(F.array(F.lit("")), F.col("_runs")))
+    rows = marked.select(*keys, *carry, "_marked", F.explode(runs).alias("kw_first"))
     # Broadcast lexicon: hash join in every task. Otherwise a shuffled join whose
     # hot first tokens are salted.
     joined = rows.join(lex, "kw_first") if small else salted_join(rows, lex, "kw_first", keys)

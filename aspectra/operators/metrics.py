@@ -107,15 +107,6 @@ def class_report(
     return per.select("name", "precision", "recall", "f1", "support").unionByName(rows)
 
 
-def cross_entropy_rows(df: DataFrame, scores: str, label: str = "label", twice: bool = False) -> F.Column:
-    """Per-row cross-entropy; ``twice`` softmaxes a probability vector again
-    first, which is what an entropy loss on fused probabilities computes."""
-    s = V.softmax(F.col(scores)) if twice else F.col(scores)
-    if twice:
-        s = F.transform(s, lambda x: F.log(x))
-    return V.cross_entropy(s, F.col(label))
-
-
 def batch_mean(df: DataFrame, value: str, index: str, batch_size: int = 16) -> DataFrame:
     """Mean of per-batch means, batches of ``batch_size`` consecutive indices
     (0-based ``index``); a short last batch weighs as much as a full one."""

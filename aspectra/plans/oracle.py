@@ -72,15 +72,11 @@ LINES = RAW_LINES + f""",
 lines AS (SELECT doc_id, line_no, line AS sentence FROM raw_lines WHERE {strip('line')} <> '')"""
 
 LEXICON = f"""bench_tok AS (SELECT {word_runs('lower(text)')} AS t FROM benchmark),
-lex_terms AS (
-  SELECT term, count(*) AS cnt FROM (
-    SELECT unnest(list_concat(
-      list_filter(t, lambda x: length(x) >= {D.MIN_TOKEN_CHARS}),
-      list_filter(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]),
-                  lambda x: length(x) >= {D.MIN_PAIR_CHARS}))) AS term
-    FROM bench_tok) GROUP BY term
+lexicon AS (
+  SELECT DISTINCT keyword FROM (
+    SELECT unnest(list_concat(t[1:1], list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS keyword
+    FROM bench_tok)
 ),
-lexicon AS (SELECT term AS keyword FROM lex_terms ORDER BY cnt DESC, term LIMIT {D.LEXICON_SIZE}),
 lex AS (
   SELECT keyword, length(keyword) AS kw_len, {mark('keyword')} AS kw_marked,
          {word_runs('keyword')}[1] AS kw_first
@@ -165,16 +161,18 @@ ORACLE["read_tsv"] = with_(LINES) + f"""SELECT doc_id, line_no, {na('sentence')}
   {na('aspect')} AS aspect, {na('sentiment')} AS sentiment FROM ({VALID})"""
 
 THREE_LINE = f"""groups AS (
-  SELECT doc_id, line_no // 3 AS rec_no,
+  SELECT file_no, line_no // 3 AS rec_no,
     max(CASE WHEN line_no % 3 = 0 THEN {strip('line')} END) AS sentence,
     max(CASE WHEN line_no % 3 = 1 THEN {strip('line')} END) AS aspect,
     max(CASE WHEN line_no % 3 = 2 THEN {strip('line')} END) AS sentiment,
     count(*) AS n_lines
-  FROM raw_lines GROUP BY 1, 2
+  FROM (SELECT doc_id // 100 AS file_no, line,
+               row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, line_no) - 1 AS line_no FROM raw_lines)
+  GROUP BY 1, 2
 )"""
-ORACLE["read_three_line"] = with_(RAW_LINES, THREE_LINE) + """SELECT doc_id, CAST(rec_no AS BIGINT) AS rec_no,
+ORACLE["read_three_line"] = with_(RAW_LINES, THREE_LINE) + """SELECT file_no, CAST(rec_no AS BIGINT) AS rec_no,
   sentence, aspect, sentiment FROM groups WHERE n_lines = 3"""
-ORACLE["three_line_rejects"] = with_(RAW_LINES, THREE_LINE) + """SELECT doc_id, CAST(rec_no AS BIGINT) AS rec_no,
+ORACLE["three_line_rejects"] = with_(RAW_LINES, THREE_LINE) + """SELECT file_no, CAST(rec_no AS BIGINT) AS rec_no,
   CAST(n_lines AS BIGINT) AS n_lines, sentence FROM groups WHERE n_lines < 3"""
 
 # ---------------------------------------------------------------- transforms

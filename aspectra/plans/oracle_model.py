@@ -200,7 +200,7 @@ ENCODE = f"""words AS (
 ),
 wvocab AS (
   SELECT word, row_number() OVER (ORDER BY n DESC, word) + {FE.UNK_ID} AS id FROM (
-    SELECT word, count(*) AS n FROM words GROUP BY word ORDER BY n DESC, word LIMIT 8000)
+    SELECT word, count(*) AS n FROM words GROUP BY word)
 ),
 ids AS (
   SELECT w.doc_id, w.line_no, w.part, list(coalesce(v.id, {FE.UNK_ID}) ORDER BY w.pos) AS ids

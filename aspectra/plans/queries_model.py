@@ -101,8 +101,9 @@ def nb_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query("nb_proba")
 def nb_proba(spark: SparkSession, sf: str) -> DataFrame:
     """M3: class probabilities (softmax of the joint log-likelihood)."""
-    p = B.predict_proba(_predictions(spark, sf))
-    return _predictions(spark, sf).select(*KEYS, *[p[i].alias(f"p{i}") for i in range(3)])
+    scored = _predictions(spark, sf)
+    p = B.predict_proba(scored)
+    return scored.select(*KEYS, *[p[i].alias(f"p{i}") for i in range(3)])
 
 
 @query("nb_accuracy")
@@ -133,9 +134,9 @@ def concat_pad(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("encode_pairs")
 def encode_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(sentence, aspect) -> fixed-length ids and mask, word vocabulary of 8000."""
+    """(sentence, aspect) -> fixed-length ids and mask, vocabulary of all words."""
     tri = TR.prepared(spark, sf)
-    vocab = FE.encode_vocabulary(tri, ["sentence", "aspect"], 8000)
+    vocab = FE.encode_vocabulary(tri, ["sentence", "aspect"])
     enc = FE.encode_pairs(tri, "sentence", "aspect", KEYS, vocab)
     return enc.select(
         *KEYS,

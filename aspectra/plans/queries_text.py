@@ -60,35 +60,32 @@ def read_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_tsv(spark, path, schema)
 
 
+FILE_DOCS = 100
+
+
 def _raw_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document written as its own raw text file (one folder per doc_id),
-    then read back as numbered lines with the doc_id taken from the path."""
-    docs = D.table(spark, sf, "documents").select("doc_id", "text")
+    """Documents written as raw text files, one per ``FILE_DOCS`` ids in id order, then
+    read back as numbered lines with the file's number taken from its path."""
+    docs = D.table(spark, sf, "documents").select((F.col("doc_id") / FILE_DOCS).cast("bigint").alias("file_no"), "doc_id", "text")
     path = scratch_path(spark, "raw")
-    docs.repartition(FE.work_partitions(docs), "doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
-    key = "spark.sql.sources.parallelPartitionDiscovery.threshold"
-    old = spark.conf.get(key)
-    # One folder per document: list them on the driver instead of a listing job per folder.
-    spark.conf.set(key, "1000000")
-    try:
-        lines = S.numbered_lines(spark, path)
-    finally:
-        spark.conf.set(key, old)
-    return lines.withColumn("doc_id", F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint"))
+    sorted_docs = docs.repartition("file_no").sortWithinPartitions("file_no", "doc_id").select("file_no", "text")
+    sorted_docs.write.mode("overwrite").partitionBy("file_no").text(path)
+    lines = S.numbered_lines(spark, path)
+    return lines.withColumn("file_no", F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint"))
 
 
 @query("read_three_line")
 def read_three_line(spark: SparkSession, sf: str) -> DataFrame:
     """Raw files read back as three-line records."""
-    records, _ = S.three_line_records(_raw_files(spark, sf), ["doc_id"])
+    records, _ = S.three_line_records(_raw_files(spark, sf), ["file_no"])
     return records
 
 
 @query("three_line_rejects")
 def three_line_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """S1 rejects: trailing groups with fewer than three lines."""
-    _, rejects = S.three_line_records(_raw_files(spark, sf), ["doc_id"])
-    return rejects.select("doc_id", "rec_no", "n_lines", "sentence")
+    _, rejects = S.three_line_records(_raw_files(spark, sf), ["file_no"])
+    return rejects.select("file_no", "rec_no", "n_lines", "sentence")
 
 
 # ---------------------------------------------------------------- transforms

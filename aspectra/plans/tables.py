@@ -4,8 +4,8 @@ The review files and the aspect lexicon of the original pipeline are not among
 the driver's tables, so they are derived from them by fixed rules:
 
 * lines    documents.text split on newlines, with position, non-blank.
-* lexicon  the 400 most frequent tokens (>= 4 chars) and adjacent token pairs
-           (>= 7 chars) of lower-cased benchmark.text; ties by term.
+* lexicon  every adjacent token pair of lower-cased benchmark.text and the first
+           token of every item: the whole table, no cap and no length filter.
 * triples  labelled lines with their main aspect; code -1 if toxic, 0 if low
            quality, else 1; raw sentence = lower-cased line with the aspect
            replaced by the placeholder. Hold-out rows: doc_id % 5 = 0.
@@ -17,6 +17,7 @@ the driver's tables, so they are derived from them by fixed rules:
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,9 +31,6 @@ from aspectra.session import spread
 CONNECTOR_GATE = (" and ", " that ", " with ", ",", ";")
 CONNECTOR_SPLIT = (" and ", " that ", " with ", ",", ";", ".")
 PROMPT_EN = "About aspect %s, %s"
-LEXICON_SIZE = 400
-MIN_TOKEN_CHARS = 4
-MIN_PAIR_CHARS = 7
 TEST_FOLD = 5
 SEED = 42
 # ---------------------------------------------------------------------------------
@@ -47,8 +45,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
-def doc_lines(docs: DataFrame) -> DataFrame:
-    out = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "sentence"))
+def doc_lines(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    out = docs.select("doc_id", *carry, F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "sentence"))
     return out.where(strip_ws(F.col("sentence")) != "")
 
 
@@ -56,8 +54,8 @@ def doc_clauses(docs: DataFrame) -> DataFrame:
     return C.explode_clauses(doc_lines(docs), "sentence", ["doc_id", "line_no"], CONNECTOR_GATE, CONNECTOR_SPLIT)
 
 
-def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(term, cnt) ranked list source: tokens and adjacent pairs of benchmark text."""
+def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived lexicon as a one-column text table (``value``), like a lexicon file."""
     bench = table(spark, sf_dir, "benchmark").select(word_runs(F.lower("text")).alias("t"))
     n = F.size("t")
     pairs = F.zip_with(
@@ -65,16 +63,7 @@ def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice("t", 2, F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    singles = F.filter("t", lambda x: F.char_length(x) >= MIN_TOKEN_CHARS)
-    doubles = F.filter(pairs, lambda x: F.char_length(x) >= MIN_PAIR_CHARS)
-    terms = bench.select(F.explode(F.concat(singles, doubles)).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived lexicon as a one-column text table (``value``), like a lexicon file."""
-    top = lexicon_terms(spark, sf_dir).orderBy(F.col("cnt").desc(), F.col("term")).limit(LEXICON_SIZE)
-    return top.select(F.col("term").alias("value"))
+    return bench.select(F.explode(F.concat(F.slice("t", 1, 1), pairs)).alias("value")).distinct()
 
 
 def ranked_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +86,9 @@ def sentiment_code() -> F.Column:
 def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, sentence with placeholder, aspect, sentiment code as text)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    labelled = lines(spark, sf_dir).join(labels, "doc_id")
+    # Labels first, then lines: unlabelled documents are never split.
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), "doc_id")
+    labelled = doc_lines(docs, ["quality", "toxic"])
     carry = ["sentence", "quality", "toxic"]
     hits = M.match_word(labelled, "sentence", ["doc_id", "line_no"], ranked_lexicon(spark, sf_dir), carry=carry)
     rows = M.main_aspect(hits, ["doc_id", "line_no"], carry=carry)

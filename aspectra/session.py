@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="aspectra-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():
@@ -50,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder name below the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "aspectra-scratch", f"{label}-{uuid.uuid4().hex}")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from aspectra.functions.text import strip_ws
 from aspectra.operators.match import sized_broadcast
-from aspectra.operators.prepare import NA_STRINGS, format_triple, na_to_null, three_fields
+from aspectra.operators.prepare import NA_STRINGS, na_to_null, three_fields
 
 TRIPLE_SCHEMA = T.StructType(
     [
@@ -83,11 +83,16 @@ def valid_triples(lines: DataFrame, col: str = "value", keep: Sequence[str] = ()
 
 
 def write_tsv(df: DataFrame, path: str, quote: bool = False) -> None:
-    """Headerless TSV. ``quote=False`` writes fields as they are (plain writer)."""
-    w = df.write.mode("overwrite").option("sep", "\t").option("header", "false")
+    """Headerless TSV. ``quote=False`` writes fields as they are, joined by tabs;
+    ``quote=True`` quotes where needed and doubles quotes inside, as data-frame
+    libraries do, so tabs, quotes and line ends in a field survive."""
     if not quote:
-        w = w.option("quote", "").option("escape", "")
-    w.csv(path)
+        fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+        df.select(F.concat_ws("\t", *fields).alias("value")).write.mode("overwrite").text(path)
+        return
+    w = df.write.mode("overwrite").option("sep", "\t").option("header", "false").option("escape", '"')
+    w = w.option("emptyValue", "").option("nullValue", "").option("lineSep", "\n")
+    w.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def read_tsv(
@@ -99,8 +104,8 @@ def read_tsv(
 ) -> DataFrame:
     """Headerless TSV with an explicit schema; NA strings become null in string columns."""
     r = spark.read.schema(schema).option("sep", "\t").option("header", "false").option("mode", "PERMISSIVE")
-    if not quote:
-        r = r.option("quote", "")
+    r = r.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("lineSep", "\n")
+    r = r.option("escape", '"').option("multiLine", "true") if quote else r.option("quote", "")
     df = r.csv(path)
     cols = [
         na_to_null(F.col(f.name), na_strings).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
@@ -112,7 +117,3 @@ def read_tsv(
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Lexicon file, one phrase per line, as a text table (``value``)."""
     return spark.read.text(path)
-
-
-def tab_lines(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(format_triple(*[F.col(c) for c in cols]).alias("value"))

@@ -35,9 +35,13 @@ def run_available(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
+    # An empty source runs no batch; its result is the transform of no rows.
+    out_schema = transform(spark.createDataFrame([], schema)).schema
+    written: list[str] = []
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
+        written.append(str(batch_id))
 
     q = (
         stream.writeStream.foreachBatch(write_batch)
@@ -46,4 +50,7 @@ def run_available(
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(sink_path).drop("batch_id")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink_path)
+    if not written and not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], out_schema)
+    return spark.read.schema(out_schema).parquet(sink_path).select(*out_schema.fieldNames())

@@ -1,5 +1,5 @@
-"""Golden clauses and aspects of the example sentences (FIXTURES.md), with the
-default (Vietnamese) connectors and a lexicon made of the expected aspects."""
+"""Clauses and aspects of made-up sentences, expected rows worked out by hand, with
+the default (Vietnamese) connectors."""
 
 from __future__ import annotations
 
@@ -7,85 +7,66 @@ from aspectra.operators import clauses as C
 from aspectra.operators import match as M
 
 SENTENCES = [
-    "Sản phẩm chính hãng và khá là ưa dùng nhưng shipper giao hàng rất chậm",
-    "Shipper thân thiện",
-    "Shipper khá là khó chịu và gây khó dễ cho người dùng",
-    "Hàng tốt",
-    "giao hàng chậm",
-    "dùng tốt",
-    "Sử dụng rất ổn định",
-    "Sản phẩm sử dụng rất ổn định",
-    "Sản phẩm dùng khá ổn nhưng thời gian giao hàng khá lâu",
-    "Sản phẩm không quá mắc tiền",
-    "Sản phẩm bình thường",
-    "Sản phẩm chính hãng",
-    "Sản phẩm tệ song theo đó là sử dụng cũng rất là chán",
-    "Sản phẩm tốt, chính hãng, dễ sử dụng",
-    "Sản phẩm ở mức khá",
-    "Sản phẩm tạm được",
-    "Giao hàng nhanh nhưng sản phẩm không tốt",
-    "Tôi cảm thấy khá là may mắn khi mua được sản phẩm này, đối với việc phải trải qua những sản phẩm dễ bị hư "
-    "trong quá khứ tôi đã được trải nghiệm sản phẩm mới và khá chất lượng",
+    "Màn hình đẹp nhưng pin yếu song giá rẻ",  # two connectors
+    "Loa hay, vỏ xấu, pin khỏe",  # the middle clause has no aspect
+    "Pin tốt. Loa tốt.",  # a period alone doesn't split
+    "Loa đỏ và pin đỏ",  # two hits of equal length: the smaller one
+    "Thời lượng pin ổn",  # a keyword inside another
+    "nhưng máy êm, ",  # connectors at both ends, blank parts
 ]
-
+LEXICON = ["Màn hình", "pin", "PIN", "loa", "giá", "thời lượng pin", "máy", "áy ê"]
 EXPECTED = [
-    (0, 0, "sản phẩm chính hãng và khá là ưa dùng", "sản phẩm"),
-    (0, 1, "shipper giao hàng rất chậm", "giao hàng"),
-    (1, 0, "shipper thân thiện", "shipper"),
-    (2, 0, "shipper khá là khó chịu và gây khó dễ cho người dùng", "shipper"),
-    (3, 0, "hàng tốt", "hàng"),
-    (4, 0, "giao hàng chậm", "giao hàng"),
-    (5, 0, "dùng tốt", "dùng"),
-    (6, 0, "sử dụng rất ổn định", "sử dụng"),
-    (7, 0, "sản phẩm sử dụng rất ổn định", "sản phẩm"),
-    (8, 0, "sản phẩm dùng khá ổn", "sản phẩm"),
-    (8, 1, "thời gian giao hàng khá lâu", "thời gian giao hàng"),
-    (9, 0, "sản phẩm không quá mắc tiền", "sản phẩm"),
-    (10, 0, "sản phẩm bình thường", "sản phẩm"),
-    (11, 0, "sản phẩm chính hãng", "sản phẩm"),
-    (12, 0, "sản phẩm tệ", "sản phẩm"),
-    (12, 1, "theo đó là sử dụng cũng rất là chán", "sử dụng"),
-    (13, 0, "sản phẩm tốt", "sản phẩm"),
-    (13, 2, "dễ sử dụng", "sử dụng"),
-    (14, 0, "sản phẩm ở mức khá", "sản phẩm"),
-    (15, 0, "sản phẩm tạm được", "sản phẩm"),
-    (16, 0, "giao hàng nhanh", "giao hàng"),
-    (16, 1, "sản phẩm không tốt", "sản phẩm"),
-    (17, 0, "tôi cảm thấy khá là may mắn khi mua được sản phẩm này", "sản phẩm"),
-    (17, 1, "đối với việc phải trải qua những sản phẩm dễ bị hư trong quá khứ tôi đã được trải nghiệm sản phẩm mới "
-     "và khá chất lượng", "trải nghiệm"),
+    (0, 0, "màn hình đẹp", "màn hình"),
+    (0, 1, "pin yếu", "pin"),
+    (0, 2, "giá rẻ", "giá"),
+    (1, 0, "loa hay", "loa"),
+    (1, 2, "pin khỏe", "pin"),
+    (2, 0, "pin tốt. loa tốt.", "loa"),
+    (3, 0, "loa đỏ và pin đỏ", "loa"),
+    (4, 0, "thời lượng pin ổn", "thời lượng pin"),
 ]
 
-LEXICON = ["Sản phẩm", "sản phẩm", "giao hàng", "Shipper", "hàng", "dùng", "sử dụng", "thời gian giao hàng", "trải nghiệm"]
+
+def table(spark, values, name="s"):
+    return spark.createDataFrame(list(enumerate(values)), f"row bigint, {name} string")
+
+
+def lexicon(spark, words):
+    return spark.createDataFrame([(w,) for w in words], "value string")
 
 
 def test_golden_clauses_and_aspects(spark):
-    df = spark.createDataFrame(list(enumerate(SENTENCES)), "row bigint, sentence string")
-    clauses = C.explode_clauses(df, "sentence", ["row"])
-    lex = M.lexicon_ranked(spark.createDataFrame([(k,) for k in LEXICON], "value string"))
-    hits = M.match_word(clauses, "clause", ["row", "clause_no"], lex, carry=["clause"])
+    clauses = C.explode_clauses(table(spark, SENTENCES), "s", ["row"])
+    hits = M.match_word(clauses, "clause", ["row", "clause_no"], M.lexicon_ranked(lexicon(spark, LEXICON)), carry=["clause"])
     main = M.main_aspect(hits, ["row", "clause_no"], carry=["clause"])
     got = sorted((r["row"], r["clause_no"], r["clause"], r["aspect"]) for r in main.collect())
-    assert got == sorted(EXPECTED)
+    assert [g for g in got if g[0] < 5] == EXPECTED
+    assert [g[3] for g in got if g[0] == 5] == ["máy"]
     dropped = M.without_aspect(clauses, main, ["row", "clause_no"]).collect()
-    assert [(r["row"], r["clause"]) for r in dropped] == [(13, "chính hãng")]
+    assert [(r["row"], r["clause"]) for r in dropped] == [(1, "vỏ xấu")]
+
 
+EDGES = ["a c++ b", "c++b", "x+y + z", "+", "", "++", "ab c", "日本語 c+"]
+EDGE_WORDS = ["", "c++", "+", "b", "日本", "ab c", "語", "c+", " "]
 
-def test_substring_variant_keeps_case(spark):
-    df = spark.createDataFrame([(0, "Sản phẩm tốt nhưng giao hàng chậm")], "row bigint, sentence string")
-    lex = spark.createDataFrame([(k,) for k in ["Sản phẩm", "sản phẩm", "gia", "giao", "giao hàng", "hàng", "giá", "đánh giá"]], "value string")
-    hits = M.match_substring(df, "sentence", ["row"], M.lexicon_set(lex))
-    assert sorted(r["keyword"] for r in hits.collect()) == sorted(["Sản phẩm", "gia", "giao", "giao hàng", "hàng"])
 
+def test_substring_hits_are_the_same_on_both_paths(spark):
+    df, lex = table(spark, EDGES), M.lexicon_set(lexicon(spark, EDGE_WORDS))
+    want = sorted((i, k) for i, s in enumerate(EDGES) for k in EDGE_WORDS if k in s)
+    for bound in (1000, 1):
+        assert sorted(map(tuple, M.match_substring(df, "s", ["row"], lex, bound).collect())) == want
+    plan = M.match_substring(df, "s", ["row"], lex)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
 
-def test_substring_large_lexicon_path_equals_broadcast_path(spark):
-    df = spark.createDataFrame(list(enumerate(SENTENCES)), "row bigint, sentence string")
-    words = sorted({w for s in SENTENCES for w in s.lower().split()} | {"ng", "a", "sản phẩm", "giao hàng"})
-    lex = M.lexicon_set(spark.createDataFrame([(w,) for w in words], "value string"))
-    small = M.match_substring(df, "sentence", ["row"], lex)
-    large = M.match_substring(df, "sentence", ["row"], lex, max_broadcast_rows=1)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    assert small.count() > 0
+
+def test_word_hits_of_keywords_with_punctuation_are_those_of_a_boundary_search(spark):
+    import re
+
+    df, lex = table(spark, EDGES), M.lexicon_ranked(lexicon(spark, EDGE_WORDS))
+    # Boundaries of the library's word class agree with Python's on these texts.
+    want = sorted((i, k, len(k)) for i, s in enumerate(EDGES) for k in EDGE_WORDS if re.search(r"\b" + re.escape(k) + r"\b", s))
+    for bound in (1000, 1):
+        assert sorted(map(tuple, M.match_word(df, "s", ["row"], lex, bound).collect())) == want
 
 
 def test_aspect_map_is_sorted_per_row(spark):
@@ -93,12 +74,3 @@ def test_aspect_map_is_sorted_per_row(spark):
     m = {r["row"]: dict(r["aspect_map"]) for r in M.aspect_map(df, ["row"]).collect()}
     assert m == {0: {"a": "positive", "b": "neutral"}, 1: {"c": "negative"}}
     assert list(M.aspect_map(df, ["row"]).where("row = 0").first()["aspect_map"].keys()) == ["a", "b"]
-
-
-def test_word_match_large_lexicon_path_equals_broadcast_path(spark):
-    df = spark.createDataFrame(list(enumerate(SENTENCES)), "row bigint, sentence string")
-    lex = M.lexicon_ranked(spark.createDataFrame([(k,) for k in LEXICON + ["thân thiện", "khá", "rất"]], "value string"))
-    small = M.match_word(df, "sentence", ["row"], lex)
-    large = M.match_word(df, "sentence", ["row"], lex, max_broadcast_rows=1)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    assert small.count() > 20

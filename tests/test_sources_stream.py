@@ -55,7 +55,7 @@ def test_every_query_runs_on_smallest_tables(spark):
     sql = E.oracle_sql()
     assert len(qs) >= 60
     missing = set(qs) - set(sql)
-    assert missing == {"lr_train_score"}
+    assert {n for n in missing if n != "pipeline" and not n.startswith("op")} == {"lr_train_score"}
     for name in ("aspect_counts", "prepare_triples", "nb_report", "fuse_vote", "best_run", "bootstrap_balance"):
         assert qs[name](spark, SF001).count() >= 0
     assert E.entry(spark).count() > 0
@@ -68,3 +68,61 @@ def test_stream_equals_batch(spark):
     batch = qs["infer_aspects"](spark, SF001)
     stream = qs["stream_infer"](spark, SF001)
     assert rows(batch) == rows(stream.select(*batch.columns))
+
+
+TSV_ROWS = [
+    ("  lead", "trail  ", "1"),
+    ('say "hi"', "back\\slash", "0"),
+    ("ünï", "#", "-1"),
+    (None, "empty", None),
+]
+
+
+def test_plain_tsv_keeps_fields_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    S.write_tsv(spark.createDataFrame(TSV_ROWS, S.TRIPLE_SCHEMA).coalesce(1), path)
+    assert sorted(map(tuple, S.read_tsv(spark, path).collect()), key=repr) == sorted(TSV_ROWS, key=repr)
+
+
+def test_quoted_tsv_is_that_of_data_frame_libraries(spark, tmp_path):
+    import glob
+
+    import pandas as pd
+
+    rows = TSV_ROWS + [("a\tb", "line\nend", '"'), ("x", '""', "a\rb")]
+    path = str(tmp_path / "quoted")
+    S.write_tsv(spark.createDataFrame(rows, S.TRIPLE_SCHEMA).coalesce(1), path, quote=True)
+    back = S.read_tsv(spark, path, quote=True)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    own = pd.read_csv(glob.glob(path + "/part-*")[0], sep="\t", header=None, lineterminator="\n", keep_default_na=False, dtype=str)
+    assert sorted(map(tuple, own.values.tolist()), key=repr) == sorted((tuple(x or "" for x in r) for r in rows), key=repr)
+    other = str(tmp_path / "theirs.tsv")
+    pd.DataFrame(rows).to_csv(other, sep="\t", header=False, index=False)
+    assert sorted(map(tuple, S.read_tsv(spark, other, quote=True).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_an_empty_stream_source_gives_an_empty_table(spark, tmp_path):
+    from aspectra.streaming.infer_stream import run_available
+
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], "a long").schema
+    out = run_available(spark, str(tmp_path / "in"), schema, lambda d: d.selectExpr("a + 1 as b"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert out.columns == ["b"] and out.collect() == []
+
+
+def test_several_micro_batches(spark, tmp_path):
+    from aspectra.streaming.infer_stream import run_available
+
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "in"))
+    schema = spark.range(1).schema
+    out = run_available(spark, str(tmp_path / "in"), schema, lambda d: d.selectExpr("id * 2 as b"), str(tmp_path / "out"), str(tmp_path / "ck"), max_files_per_trigger=1)
+    assert sorted(r["b"] for r in out.collect()) == list(range(0, 80, 2))
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch_id=")]) >= 2
+
+
+def test_bootstrap_ignores_rows_without_a_class(spark):
+    from aspectra.operators import balance as B
+
+    df = spark.createDataFrame([(i, i % 2 if i < 9 else None) for i in range(12)], "id long, label int")
+    out = B.bootstrap(df, "label", ["id"])
+    assert sorted(r["n"] for r in B.class_counts(out).collect()) == [5, 5]

@@ -39,7 +39,8 @@ def tokens(text: Column) -> Column:
 
 
 def occurrences(text: Column, marker: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)
+    """Places of an ASCII marker, by the bytes that go with it."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)
 
 
 def topic(text: Column, topics: Mapping[str, Sequence[str]], other: str = "general") -> Column:

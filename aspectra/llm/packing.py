@@ -36,7 +36,7 @@ def token_runs(docs: DataFrame, tokenizer: str, end_id: int, pieces: str, id_col
         end = np.array([end_id], enc.dtype).tobytes()
         width = len(end)
         for b in slices(batches, ROWS):
-            ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in enc.encode_all(b.column(1).to_pylist())]
             n = np.array([len(x) // width for x in ids], np.int64)
             start = at + np.cumsum(n) - n
             at += int(n.sum())

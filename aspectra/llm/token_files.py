@@ -125,8 +125,8 @@ def write_token_files(
             if w is None:
                 path, out = new_file(root, f"tokens-{part:06d}", ".zst")
                 w = FrameWriter(out, len(end))
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(t) + end
+            for d, x in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+                ids = x + end
                 w.add(d, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // len(end)
         if w is not None:

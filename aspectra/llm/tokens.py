@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -41,28 +42,29 @@ CUTS = {"words": cut_words, "spaced": cut_spaced, "whole": lambda t: [t]}
 
 
 JOINED = 100
-MARKS = frozenset(".,;:!?")
-
-
-def _tail(piece: str) -> list[str]:
-    """A mark after an ASCII letter or digit is a pre-token of its own under both rules below."""
-    if len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalnum():
-        return [piece[:-1], piece[-1]]
-    return [piece]
+GROUP_CHARS = 500_000
+# Letters whose lower case and composed form are one character each, here and in the tokenizers.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SYMBOLS = r"!-/:-@\[-`{-~"
+WORD = re.compile(f"([{LETTERS}]+)([{SYMBOLS}]*)")
+SPACED_WORD = re.compile(f"(\n?)( ?[{LETTERS}]+)([{SYMBOLS}]*)")
+PLAIN = re.compile(f"[{LETTERS}]+")
+SPACED_PLAIN = re.compile(f" [{LETTERS}]+")
 
 
 def parts_of_word(piece: str) -> list[str]:
-    """The tokenizer lower-cases; only ASCII is left to Python's idea of that."""
-    return _tail(piece.lower()) if piece.isascii() else [piece]
+    """Letters and the symbols after them are pre-tokens of their own; the tokenizer lower-cases."""
+    found = WORD.fullmatch(piece)
+    if not found:
+        return [piece.lower() if piece.isascii() else piece]
+    word, end = found.groups()
+    return [word.lower(), end] if end else [word.lower()]
 
 
 def parts_of_spaced(piece: str) -> list[str]:
-    """A newline before anything but white space is a pre-token of its own."""
-    if not piece.isascii():
-        return [piece]
-    if len(piece) > 1 and piece[0] == "\n" and not piece[1].isspace():
-        return ["\n", *_tail(piece[1:])]
-    return _tail(piece)
+    """A newline before a letter, letters with the blank before them, and the symbols after them are pre-tokens of their own."""
+    found = SPACED_WORD.fullmatch(piece)
+    return [x for x in found.groups() if x] if found and not piece.startswith("\n ") else [piece]
 
 
 PARTS = {"words": parts_of_word, "spaced": parts_of_spaced, "whole": None}
@@ -79,8 +81,9 @@ class Encoder:
         self.dtype = id_dtype(self.tok.get_vocab_size())
         self.keep = pieces != "whole"
         self.cache: dict[str, bytes] = {}
-        # Where words of ASCII letters stand in one text, a token's own form shows where each begins or ends.
+        # Where words of letters stand in one text, a token's own form shows where each begins or ends.
         self.lead = " " if pieces == "spaced" else ""
+        self.plain = SPACED_PLAIN if self.lead else PLAIN
         self.mark = np.zeros(self.tok.get_vocab_size(), bool)
         for token, k in self.tok.get_vocab().items():
             self.mark[k] = token.startswith("\u0120") if self.lead else token.endswith("</w>")
@@ -100,25 +103,12 @@ class Encoder:
                 self.cache[word] = packed[a * width : z * width]
                 a = z
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of the text as packed little-endian integers of ``dtype``."""
-        if not text:
-            return b""
-        parts = self.cut(text)
-        if not self.keep:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _learn(self, pieces: set[str]) -> None:
+        """Put new pieces in the cache, put together from parts that many of them share."""
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        # New pieces are put together from parts that many of them share.
-        new = {piece: self.parts(piece) for piece in set(parts).difference(cache)}
-        lack = list({x for xs in new.values() for x in xs}.difference(cache))
-        plain = [x for x in lack if x.isascii() and (x.isalpha() if self.lead == "" else x.startswith(" ") and x[1:].isalpha())]
-        self._encode_joined(plain)
+        new = {piece: self.parts(piece) for piece in pieces}
+        lack = {x for xs in new.values() for x in xs}.difference(cache)
+        self._encode_joined([x for x in lack if self.plain.fullmatch(x)])
         rest = [x for x in lack if x not in cache]
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
@@ -126,7 +116,31 @@ class Encoder:
                 cache[piece] = np.array(e.ids, self.dtype).tobytes()
         for piece, xs in new.items():
             cache[piece] = cache[xs[0]] if len(xs) == 1 else b"".join([cache[x] for x in xs])
-        return b"".join(map(cache.__getitem__, parts))
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        if not self.keep:
+            return [np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
+        if len(self.cache) > CACHE_ENTRIES:  # the pieces met first are the frequent ones
+            self.cache = dict(islice(self.cache.items(), CACHE_ENTRIES // 2))
+        new = set().union(*cut).difference(self.cache)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.cache.__getitem__, parts)) for parts in cut]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as packed little-endian integers of ``dtype``; texts share the look for new pieces."""
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(t or "")
+            if size >= GROUP_CHARS:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out + self._encode_group(group)
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def id_dtype(n_ids: int) -> str:

@@ -54,13 +54,12 @@ def term_counts(
 
 
 def work_partitions(df: DataFrame) -> int:
-    """Partition count for CPU-heavy per-row work: at least the input's, the
-    session's shuffle partitions and the task slots. Given explicitly, so that
+    """Partition count for CPU-heavy per-row work: the session's shuffle
+    partitions, at least the task slots. Given explicitly, so that
     adaptive coalescing (meant for light rows) does not fold tokenisation of
     small-but-heavy inputs into a few tasks."""
     spark = df.sparkSession
     return max(
-        df.rdd.getNumPartitions(),
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism,
     )

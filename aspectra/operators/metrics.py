@@ -120,3 +120,10 @@ def best_run(runs: DataFrame, run: str = "run", epoch: str = "epoch", acc: str =
     before = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.coalesce(F.max(acc).over(before), F.lit(0.0))
     return runs.select(run, epoch, acc, prev.alias("best_before"), (F.col(acc) > prev).alias("improved"))
+
+
+def best_epoch(runs: DataFrame, run: str = "run", epoch: str = "epoch", acc: str = "accuracy") -> DataFrame:
+    """Per run, the epoch whose model is kept: the first one with the highest
+    accuracy. A run that never gets above 0 keeps none."""
+    best = F.max_by(F.struct(epoch, acc), F.struct(F.col(acc), -F.col(epoch))).alias("_best")
+    return runs.where(F.col(acc) > 0).groupBy(run).agg(best).select(run, f"_best.{epoch}", f"_best.{acc}")

@@ -93,5 +93,12 @@ def linear_classifier(
     return pipe.fit(prepared.withColumn(label, F.col(label).cast("double")))
 
 
+def probabilities(col: str = "_proba") -> Column:
+    """Class probabilities of the classifier as ARRAY<DOUBLE>, ready for fusion, vote and loss."""
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(F.col(col))
+
+
 def features_frame(df: DataFrame, text: str, lo: int = 1, hi: int = 1) -> DataFrame:
     return df.withColumn("_grams", ngrams(vectorizer_tokens(F.col(text)), lo, hi))

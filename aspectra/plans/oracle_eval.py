@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aspectra.functions.text import WS_CLASS
+from aspectra.plans import tables as D
 from aspectra.plans.oracle import (
     LEXICON,
     LINE_HITS,
@@ -11,10 +12,11 @@ from aspectra.plans.oracle import (
     PREPARED,
     RAW_TRIPLES,
     WORD,
+    q,
     strip,
     with_,
 )
-from aspectra.plans.oracle_model import SPLIT, accuracy_sql, confusion_sql, report_sql
+from aspectra.plans.oracle_model import SPLIT, accuracy_sql, confusion_sql, nb_fit, nb_score, report_sql
 
 
 def _residue(e: str, j: int, shift: int, sign: str) -> str:
@@ -42,6 +44,18 @@ def _ce(a: str, y: str) -> str:
     return f"({_lse(a)} - {a}[{y} + 1])"
 
 
+def fusion_sql(src: str, keys: str) -> str:
+    """``src`` with keys, label and the score lists la, lb -> fu (fused probabilities) and pr (classes)."""
+    return f"""sm AS (SELECT *, {_softmax('la')} AS pa, {_softmax('lb')} AS pb FROM {src}),
+mix AS (SELECT *, [0.8 * pa[1] + 0.2 * pb[1], 0.8 * pa[2] + 0.2 * pb[2], 0.8 * pa[3] + 0.2 * pb[3]] AS mx FROM sm),
+fu AS (
+  SELECT {keys}, label, la, lb, [mx[1] / (mx[1] + mx[2] + mx[3]), mx[2] / (mx[1] + mx[2] + mx[3]),
+         mx[3] / (mx[1] + mx[2] + mx[3])] AS fused
+  FROM mix
+),
+pr AS (SELECT *, {_argmax('la')} AS pred_a, {_argmax('lb')} AS pred_b, {_argmax('fused')} AS pred FROM fu)"""
+
+
 SCORED = f"""emb AS (SELECT vec_id, label % 3 AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 sc AS (
   SELECT vec_id, label,
@@ -49,14 +63,7 @@ sc AS (
     [{_residue('e', 0, 1, '-')}, {_residue('e', 1, 1, '-')}, {_residue('e', 2, 1, '-')}] AS lb
   FROM emb
 ),
-sm AS (SELECT *, {_softmax('la')} AS pa, {_softmax('lb')} AS pb FROM sc),
-mix AS (SELECT *, [0.8 * pa[1] + 0.2 * pb[1], 0.8 * pa[2] + 0.2 * pb[2], 0.8 * pa[3] + 0.2 * pb[3]] AS mx FROM sm),
-fu AS (
-  SELECT vec_id, label, la, lb, [mx[1] / (mx[1] + mx[2] + mx[3]), mx[2] / (mx[1] + mx[2] + mx[3]),
-         mx[3] / (mx[1] + mx[2] + mx[3])] AS fused
-  FROM mix
-),
-pr AS (SELECT *, {_argmax('la')} AS pred_a, {_argmax('lb')} AS pred_b, {_argmax('fused')} AS pred FROM fu)"""
+{fusion_sql('sc', 'vec_id')}"""
 
 
 def r6(x: str, name: str) -> str:
@@ -91,11 +98,12 @@ ORACLE["batch_mean_loss"] = with_(SCORED) + f"""SELECT round(avg(m), 6) AS mean_
 ORACLE["accuracy"] = with_(SCORED) + accuracy_sql("pr")
 ORACLE["class_report"] = with_(SCORED) + "SELECT * FROM (" + report_sql("pr") + ")"
 ORACLE["confusion_matrix"] = with_(SCORED) + confusion_sql("pr")
-ORACLE["model_compare"] = with_(SCORED) + f"""SELECT model, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+COMPARE = f"""SELECT model, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
   round(avg(ce), 6) AS loss FROM (
     SELECT 'a' AS model, label, pred_a AS pred, {_ce('la', 'label')} AS ce FROM pr
     UNION ALL SELECT 'b', label, pred_b, {_ce('lb', 'label')} FROM pr
     UNION ALL SELECT 'fused', label, pred, {_ce('fused', 'label')} FROM pr) GROUP BY model"""
+ORACLE["model_compare"] = with_(SCORED) + COMPARE
 ORACLE["best_run"] = """WITH runs AS (
   SELECT event_type AS run, event_id % 6 AS epoch, avg(value) / 100.0 AS accuracy FROM events GROUP BY 1, 2
 ),
@@ -105,6 +113,11 @@ b AS (
 )
 SELECT run, CAST(epoch AS BIGINT) AS epoch, round(accuracy, 6) AS accuracy, round(best_before, 6) AS best_before,
   CAST(accuracy > best_before AS BIGINT) AS improved FROM b"""
+ORACLE["best_epoch"] = """WITH runs AS (
+  SELECT event_type AS run, event_id % 6 AS epoch, avg(value) / 100.0 AS accuracy FROM events GROUP BY 1, 2
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY accuracy DESC, epoch) AS rn FROM runs WHERE accuracy > 0)
+SELECT run, CAST(epoch AS BIGINT) AS epoch, round(accuracy, 6) AS accuracy FROM ranked WHERE rn = 1"""
 
 # ---------------------------------------------------------------- balancing
 BASE = (LINES, LEXICON, LINE_HITS, RAW_TRIPLES, PREPARED, SPLIT)
@@ -186,3 +199,35 @@ ORACLE["balanced_union"] = with_(*BASE, BOOT, SYN, NEUTRAL) + """SELECT CAST(sen
 ORACLE["shuffle_rows"] = with_(*BASE, BOOT, SYN, NEUTRAL) + f"""SELECT CAST(row_number() OVER (ORDER BY h, sentiment, slot, copy) - 1 AS BIGINT) AS row_index,
   CAST(sentiment AS BIGINT) AS sentiment, CAST(slot AS BIGINT) AS slot, CAST(copy AS BIGINT) AS copy FROM (
   SELECT *, {phash("'shuffle|42|' || sentiment || '|' || slot || '|' || copy")} AS h FROM balanced)"""
+
+# ---------------------------------------------------------------- combined run
+DRAW = ("drawn", "slot", "copy")
+FMT = q(D.PROMPT_EN.replace("%s", "{}"))
+
+
+def _three(px: str) -> str:
+    return ", ".join(f"max({px}.score) FILTER (WHERE {px}.cls = {c})" for c in range(3))
+
+
+COMBINED = with_(
+    *BASE, BOOT, SYN, NEUTRAL,
+    "drawn_rows AS (SELECT sentiment AS drawn, slot, copy, sentiment, sentence FROM balanced)",
+    nb_fit("c", "drawn_rows", "sentence", 1, 1, 0.1, DRAW),
+    f"train_p AS (SELECT *, format({FMT}, aspect, sentence) AS prompt FROM train)",
+    nb_fit("pa", "train_p", "prompt", 1, 1, 0.1),
+    f"test_p AS (SELECT *, format({FMT}, aspect, sentence) AS prompt FROM test)",
+    nb_score("pa", "ta", "test_p", "prompt", 1, 1),
+    nb_score("c", "tb", "test", "sentence", 1, 1),
+    f"""wide AS (
+  SELECT t.doc_id, t.line_no, t.sentiment AS label, [{_three('a')}] AS la, [{_three('b')}] AS lb
+  FROM test t JOIN ta_s a ON a.doc_id = t.doc_id AND a.line_no = t.line_no
+  JOIN tb_s b ON b.doc_id = t.doc_id AND b.line_no = t.line_no AND b.cls = a.cls
+  GROUP BY t.doc_id, t.line_no, t.sentiment
+)""",
+    fusion_sql("wide", "doc_id, line_no"),
+)
+ORACLE["combined_scores"] = COMBINED + f"""SELECT doc_id, {i64('line_no', 'line_no')}, {i64('label', 'label')}, {i64('pred_a', 'pred_a')},
+  {i64('pred_b', 'pred_b')}, {i64('pred', 'pred')}, {r6('fused[1]', 'f0')}, {r6('fused[2]', 'f1')}, {r6('fused[3]', 'f2')} FROM pr"""
+ORACLE["combined_eval"] = COMBINED + COMPARE
+ORACLE["combined_report"] = COMBINED + "SELECT * FROM (" + report_sql("pr") + ")"
+ORACLE["combined_confusion"] = COMBINED + confusion_sql("pr")

@@ -57,9 +57,10 @@ SPLIT = f"""train AS (SELECT * FROM prepared WHERE doc_id % {D.TEST_FOLD} <> 0),
 test AS (SELECT * FROM prepared WHERE doc_id % {D.TEST_FOLD} = 0)"""
 
 
-def nb_fit(px: str, src: str, text: str, lo: int, hi: int, alpha: float) -> str:
-    return f"""{grams_cte(px, src, text, lo, hi, ("doc_id", "line_no", "sentiment"), ("doc_id", "line_no"))},
-{px}_tf AS (SELECT doc_id, line_no, sentiment, term, count(*) AS tf FROM {px}_grams GROUP BY ALL),
+def nb_fit(px: str, src: str, text: str, lo: int, hi: int, alpha: float, keys=("doc_id", "line_no")) -> str:
+    k = ", ".join(keys)
+    return f"""{grams_cte(px, src, text, lo, hi, (*keys, "sentiment"), keys)},
+{px}_tf AS (SELECT {k}, sentiment, term, count(*) AS tf FROM {px}_grams GROUP BY ALL),
 {px}_vocab AS (
   SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, total, df,
          ln((1 + (SELECT count(*) FROM {src})) / (1 + df)) + 1 AS idf
@@ -67,7 +68,7 @@ def nb_fit(px: str, src: str, text: str, lo: int, hi: int, alpha: float) -> str:
         ORDER BY total DESC, term LIMIT {FE.MAX_FEATURES})
 ),
 {px}_w AS (
-  SELECT doc_id, line_no, sentiment, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, line_no)) AS weight
+  SELECT {k}, sentiment, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY {k})) AS weight
   FROM (SELECT f.*, v.idx, f.tf * v.idf AS w FROM {px}_tf f JOIN {px}_vocab v USING (term))
 ),
 {px}_prior AS (
@@ -138,6 +139,7 @@ ORACLE["nb_fit_prior"] = with_(*BASE, BAYES) + f"SELECT {_int('cls')}, {_int('n'
 ORACLE["nb_fit_terms"] = with_(*BASE, BAYES) + f"SELECT term, {_int('cls')}, round(log_prob, 6) AS log_prob FROM b_lp"
 ORACLE["model_roundtrip"] = ORACLE["nb_fit_terms"]
 ORACLE["nb_predict"] = with_(*BASE, BAYES, TEST_SCORE, PRED) + f"SELECT doc_id, {_int('line_no')}, {_int('label')}, {_int('pred')} FROM bt_eval"
+ORACLE["model_load_predict"] = ORACLE["nb_predict"]
 ORACLE["nb_proba"] = with_(*BASE, BAYES, TEST_SCORE, nb_proba_fix("bt")) + f"""SELECT doc_id, {_int('line_no')},
   round(max(p) FILTER (WHERE cls = 0), 6) AS p0, round(max(p) FILTER (WHERE cls = 1), 6) AS p1,
   round(max(p) FILTER (WHERE cls = 2), 6) AS p2 FROM bt_prob GROUP BY doc_id, line_no"""

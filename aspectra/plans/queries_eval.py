@@ -161,7 +161,10 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query("model_compare")
 def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy and mean loss of A, B and the fusion side by side."""
-    f = _fused(spark, sf)
+    return _compare(_fused(spark, sf))
+
+
+def _compare(f: DataFrame) -> DataFrame:
     long = f.select(
         "label",
         F.inline(F.array(
@@ -191,6 +194,12 @@ def best_run(spark: SparkSession, sf: str) -> DataFrame:
     return ME.best_run(_runs(spark, sf))
 
 
+@query("best_epoch")
+def best_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """The epoch whose model each run keeps."""
+    return ME.best_epoch(_runs(spark, sf))
+
+
 # ---------------------------------------------------------------- balancing
 def _train(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = TR.split(TR.prepared(spark, sf))
@@ -203,8 +212,9 @@ def class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return BL.class_counts(_train(spark, sf), "sentiment")
 
 
-def _boot(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.materialize(BL.bootstrap(_train(spark, sf), "sentiment", TR.KEYS))
+def _boot(spark: SparkSession, sf: str, train: DataFrame | None = None) -> DataFrame:
+    rows = train if train is not None else _train(spark, sf)
+    return TR.materialize(BL.bootstrap(rows, "sentiment", TR.KEYS))
 
 
 @query("bootstrap_balance")
@@ -233,8 +243,8 @@ def augment_neutral(spark: SparkSession, sf: str) -> DataFrame:
     return _neutral(_boot(spark, sf), spark, sf)
 
 
-def _balanced(spark: SparkSession, sf: str) -> DataFrame:
-    boot = _boot(spark, sf)
+def _balanced(spark: SparkSession, sf: str, train: DataFrame | None = None) -> DataFrame:
+    boot = _boot(spark, sf, train)
     others = boot.where(F.col("sentiment") != 1).select(
         "sentiment", "slot", F.lit(0).alias("copy"), "doc_id", "line_no", "sentence"
     )
@@ -255,11 +265,55 @@ def shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
     return BL.shuffle_index(b, ["sentiment", "slot", "copy"])
 
 
+# ---------------------------------------------------------------- combined run
+def _combined(spark: SparkSession, sf: str) -> DataFrame:
+    """Hold-out rows with both models' scores, classes and their fusion: A is the
+    prompt model, B the Bayes fitted on the balanced rows."""
+    train, test = TR.split(TR.prepared(spark, sf))
+    a = TR.prompt_model(train)
+    b = TR.balanced_bayes(_balanced(spark, sf, train))
+    if a.model.classes != b.model.classes:
+        raise ValueError("both models must know the same classes")
+    sa = a.scores(TR.with_prompt(test), carry=["sentiment"])
+    sa = sa.select(*TR.KEYS, F.col("sentiment").alias("label"), F.col("scores").alias("logits_a"))
+    both = sa.join(b.scores(test, TR.KEYS).withColumnRenamed("scores", "logits_b"), TR.KEYS)
+    fused = V.fuse_weighted(V.softmax(F.col("logits_a")), V.softmax(F.col("logits_b")), *FUSE_WEIGHTS)
+    both = both.withColumn("fused", fused)
+    classes = F.array(*[F.lit(c) for c in a.model.classes])
+    preds = {"pred_a": "logits_a", "pred_b": "logits_b", "pred": "fused"}
+    return TR.materialize(both.withColumns({p: V.element(classes, V.argmax(F.col(s))) for p, s in preds.items()}))
+
+
+@query("combined_scores")
+def combined_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 on the trained models: fused class probabilities and classes of every hold-out row."""
+    return _combined(spark, sf).select(*TR.KEYS, "label", "pred_a", "pred_b", "pred", *_arr3("fused", "f"))
+
+
+@query("combined_eval")
+def combined_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """E7 on the trained models: accuracy and mean loss of A, B and their fusion."""
+    return _compare(_combined(spark, sf))
+
+
+@query("combined_report")
+def combined_report(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 on the fused classes of the trained models."""
+    return ME.class_report(_combined(spark, sf))
+
+
+@query("combined_confusion")
+def combined_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 on the fused classes of the trained models."""
+    return ME.confusion_matrix(_combined(spark, sf))
+
+
 @query("lr_train_score", oracle=False)
 def lr_train_score(spark: SparkSession, sf: str) -> DataFrame:
     """M4: class-weighted multinomial logistic regression on the aspect prompt
-    (CountVectorizer -> IDF -> LogisticRegression), scored on the hold-out."""
+    (CountVectorizer -> IDF -> LogisticRegression): class and class probabilities of the hold-out."""
     train, test = TR.split(TR.prepared(spark, sf))
     model = SC.linear_classifier(TR.with_prompt(train), "prompt", "sentiment")
     scored = model.transform(SC.features_frame(TR.with_prompt(test), "prompt"))
-    return scored.select(*TR.KEYS, F.col("sentiment").alias("label"), F.col("_pred").cast("int").alias("pred"))
+    return scored.select(*TR.KEYS, F.col("sentiment").alias("label"), F.col("_pred").cast("int").alias("pred"),
+                         *[SC.probabilities()[i].alias(f"p{i}") for i in range(3)])

@@ -92,6 +92,17 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return B.NBModel.load(spark, path).term_lp
 
 
+@query("model_load_predict")
+def model_load_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """S8 + M2: the whole model saved, loaded, and the hold-out scored with the loaded one."""
+    _, test, nb = _fitted(spark, sf)
+    path = scratch_path(spark, "text-bayes")
+    nb.save(path)
+    loaded = TR.TextBayes.load(spark, path)
+    scored = loaded.scores(test, carry=["sentiment"])
+    return scored.select(*KEYS, F.col("sentiment").alias("label"), B.predict(loaded.model, scored).alias("pred"))
+
+
 @query("nb_predict")
 def nb_predict(spark: SparkSession, sf: str) -> DataFrame:
     """M2: predicted class of every hold-out sentence."""

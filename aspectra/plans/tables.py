@@ -87,7 +87,7 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, sentence with placeholder, aspect, sentiment code as text)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     # Labels first, then lines: unlabelled documents are never split.
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(labels, "doc_id")
     labelled = doc_lines(docs, ["quality", "toxic"])
     carry = ["sentence", "quality", "toxic"]
     hits = M.match_word(labelled, "sentence", ["doc_id", "line_no"], ranked_lexicon(spark, sf_dir), carry=carry)

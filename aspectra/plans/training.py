@@ -8,6 +8,7 @@ train/test split, and the two Naive Bayes models used by inference.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,10 @@ class TextBayes:
     alpha: float
     vocab: DataFrame | None = None
     model: B.NBModel | None = None
+    keys: Sequence[str] = tuple(KEYS)  # identify a training row; also the default of the rows scored
 
-    def counts(self, rows: DataFrame, keys=KEYS, carry=()) -> DataFrame:
-        return FE.term_counts(rows, self.text, keys, self.lo, self.hi, carry=carry)
+    def counts(self, rows: DataFrame, keys: Sequence[str] | None = None, carry=()) -> DataFrame:
+        return FE.term_counts(rows, self.text, keys or self.keys, self.lo, self.hi, carry=carry)
 
     def fit_vocabulary(self, train: DataFrame, tf: DataFrame | None = None) -> "TextBayes":
         """Vocabulary and idf only (what a TF-IDF transform needs)."""
@@ -59,16 +61,30 @@ class TextBayes:
         # The training term counts feed both the vocabulary and the class sums.
         tf = self.counts(train, carry=[label]).persist()
         self.fit_vocabulary(train, tf)
-        weights = FE.tfidf(tf, self.vocab, KEYS, carry=[label])
+        weights = FE.tfidf(tf, self.vocab, self.keys, carry=[label])
         self.model = B.fit(train, weights, self.vocab, label=label, alpha=self.alpha, vocab_bound=FE.MAX_FEATURES)
         tf.unpersist()
         return self
 
-    def weights(self, rows: DataFrame, keys=KEYS) -> DataFrame:
-        return FE.tfidf(self.counts(rows, keys), self.vocab, keys)
+    def weights(self, rows: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+        return FE.tfidf(self.counts(rows, keys), self.vocab, keys or self.keys)
 
-    def scores(self, rows: DataFrame, keys=KEYS, carry=()) -> DataFrame:
-        return B.joint_log_likelihood(self.model, rows, self.weights(rows, keys), keys, carry)
+    def scores(self, rows: DataFrame, keys: Sequence[str] | None = None, carry=()) -> DataFrame:
+        return B.joint_log_likelihood(self.model, rows, self.weights(rows, keys), keys or self.keys, carry)
+
+    def save(self, path: str) -> None:
+        """Everything scoring needs, as Parquet: settings, vocabulary with idf, prior, term log-probabilities."""
+        spark = self.vocab.sparkSession
+        settings = spark.createDataFrame([(self.text, self.lo, self.hi, self.alpha)], "text string, lo int, hi int, alpha double")
+        settings.write.mode("overwrite").parquet(f"{path}/settings")
+        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        self.model.save(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, keys: Sequence[str] = tuple(KEYS)) -> "TextBayes":
+        s = spark.read.parquet(f"{path}/settings").first()
+        vocab = spark.read.parquet(f"{path}/vocab")
+        return cls(s["text"], s["lo"], s["hi"], s["alpha"], vocab, B.NBModel.load(spark, path), keys)
 
 
 def with_prompt(df: DataFrame, aspect: str = "aspect", text: str = "sentence") -> DataFrame:
@@ -83,5 +99,11 @@ def bayes_vocabulary(train: DataFrame) -> TextBayes:
     return TextBayes("sentence", 1, 4, 1.0).fit_vocabulary(train)
 
 
+def balanced_bayes(balanced: DataFrame) -> TextBayes:
+    """The combined run's Bayes: 1-grams, alpha 0.1, on balanced rows. A row drawn several times is several rows."""
+    rows = materialize(balanced.withColumn("drawn", F.col("sentiment")))
+    return TextBayes("sentence", 1, 1, 0.1, keys=("drawn", "slot", "copy")).fit(rows)
+
+
 def prompt_model(train: DataFrame) -> TextBayes:
     return TextBayes("prompt", 1, 1, 0.1).fit(with_prompt(train))

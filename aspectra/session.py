@@ -62,11 +62,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Big inputs already come in many file splits and are left alone; a small
     file (often one split) would otherwise run regex-heavy text work in one task.
+    The splits are estimated from the plan's size; nothing is run to find out.
     Partitioning by the row key also means later aggregations on keys that
     start with it need no further exchange.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    plan_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if plan_bytes >= slots * split_bytes:
         return df
     return df.repartition(slots, *keys)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aspectra.llm import embedding_dedup, exact_topk, language_id, line_dedup, mixing, packing, simhash, substring_dedup, token_files, warc
+from aspectra.llm import embedding_dedup, exact_topk, language_id, line_dedup, mixing, packing, simhash, substring_dedup, token_files, tokens, warc
 from aspectra.llm.components import components
 from aspectra.llm.oracles import oracles
 from aspectra.llm.queries import mix_documents, queries
@@ -76,6 +76,17 @@ def test_pieces_of_texts_have_the_ids_of_whole_texts(path, pieces):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("path,pieces", [(WORD, "words"), (BYTE, "spaced")])
+def test_texts_encoded_together_with_a_full_cache_keep_their_ids(path, pieces, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 200)
+    enc, rnd = tokens.Encoder(path, pieces), random.Random(2)
+    alphabet = ["ab", "C", "Éß", "À", "×", "ª", ".", "&&", "'", "'ll", "7", " ", " ", "\n", "\n\n", "_", "\u00a0"]
+    texts = ["", None, *["".join(rnd.choices(alphabet, k=rnd.randint(1, 30))) for _ in range(2000)]]
+    for t, got in zip(texts, enc.encode_all(texts), strict=True):
+        assert np.frombuffer(got, enc.dtype).tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def check_packing(docs, pieces):
     tok = Tokenizer.from_file(WORD)
     tok.encode_special_tokens = True

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from aspectra.session import scratch_path
@@ -58,3 +61,42 @@ def slices(batches, rows: int):
 
 def type_of(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
+
+
+# Python workers outlive the stage they were started for, so what one operator keeps in them
+# (language models, an encoder's cache) would stand beside the data of all later operators.
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """The object that this Python worker keeps between tasks under ``key``; it has one at a time."""
+    if key not in _STATE:
+        drop_worker_state()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def drop_worker_state() -> None:
+    if _STATE:
+        _STATE.clear()
+        return_memory()
+
+
+def return_memory() -> None:
+    """Give freed memory back to the system, which C and Arrow allocators else keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, in a worker that keeps nothing before it nor after it."""
+
+    def tidy(batches):
+        drop_worker_state()
+        yield from run(batches)
+        return_memory()
+
+    return tidy

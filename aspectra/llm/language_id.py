@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import slices
+from aspectra.llm.common import slices, worker_state
 
 ORDER = 3
 SAMPLE_DOCS = 500
@@ -171,9 +171,6 @@ def fit(
     return texts
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, min_context: int = MIN_CONTEXT, **sample) -> DataFrame:
     """All columns of ``docs`` in one struct ``doc``, with ``lang_pred`` and ``score``."""
     spark = docs.sparkSession
@@ -182,10 +179,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches):
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Model(shared.value, order, min_context)
-        model = _MODELS[name]
+        model = worker_state(name, lambda: Model(shared.value, order, min_context))
         for b in slices(batches, 512):
             lang, score = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc", "lang_pred", "score"])

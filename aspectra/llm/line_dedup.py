@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import discard, shuffle_partitions, shuffles_freed, slices, stash
+from aspectra.llm.common import discard, lean, shuffle_partitions, shuffles_freed, slices, stash
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
@@ -174,8 +174,8 @@ def line_arrays(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_shard
     """The shards' arrays, one row per shard that holds a key."""
     n = n_shards or 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), text_col)
-    blocks = rows.mapInArrow(_counts(n, min_chars), "shard int, keys binary, n binary, top binary")
-    return blocks.repartition(-(-n // 4), "shard").sortWithinPartitions("shard").mapInArrow(_arrays(min_docs), ARRAYS)
+    blocks = rows.mapInArrow(lean(_counts(n, min_chars)), "shard int, keys binary, n binary, top binary")
+    return blocks.repartition(-(-n // 4), "shard").sortWithinPartitions("shard").mapInArrow(lean(_arrays(min_docs)), ARRAYS)
 
 
 def _probes(n_shards: int, min_chars: int):
@@ -239,7 +239,7 @@ def _answer(batches):
 
 def dropped_lines(docs: DataFrame, arrays: DataFrame, min_chars: int, n_shards: int) -> DataFrame:
     """(id, row, line) of every line to drop; ``docs`` has (id, row, text)."""
-    probes = docs.mapInArrow(_probes(n_shards, min_chars), "shard int, keys binary, sizes binary, places binary")
+    probes = docs.mapInArrow(lean(_probes(n_shards, min_chars)), "shard int, keys binary, sizes binary, places binary")
     none = F.lit(None)
     first = arrays.select("shard", F.lit(0).alias("kind"), "levels", "sizes", "marks", "tops", none.cast("binary").alias("keys"), none.cast("binary").alias("n"), none.cast("binary").alias("places"))
     then = probes.select(
@@ -247,7 +247,7 @@ def dropped_lines(docs: DataFrame, arrays: DataFrame, min_chars: int, n_shards:
         none.cast("binary").alias("tops"), "keys", F.col("sizes").alias("n"), "places",
     )
     both = first.unionByName(then).repartition(-(-n_shards // 4), "shard").sortWithinPartitions("shard", "kind")
-    return both.mapInArrow(_answer, "id long, row long, line long")
+    return both.mapInArrow(lean(_answer), "id long, row long, line long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,6 +282,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], ["doc", "text", "n_lines", "n_dropped"])
 
-    out = parts.mapInArrow(cut, schema)
+    out = parts.mapInArrow(lean(cut), schema)
     cols = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in names]
     return out.select(*cols, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import slices, stash, type_of
+from aspectra.llm.common import lean, slices, stash, type_of
 from aspectra.llm.tokens import encoder
 
 ROWS = 512
@@ -76,7 +76,7 @@ def cut_runs(runs: DataFrame, id_name: str, window: int, with_ids: bool) -> Data
         f"{id_name} {type_of(runs, 'id')}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
         "offset long, continues boolean, continued boolean, ids binary"
     )
-    return runs.select("start", "id", "n", "ids").mapInArrow(cut, schema)
+    return runs.select("start", "id", "n", "ids").mapInArrow(lean(cut), schema)
 
 
 def pack(

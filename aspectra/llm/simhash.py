@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import discard, shuffles_freed, slices, stash, type_of
+from aspectra.llm.common import discard, lean, shuffles_freed, slices, stash, type_of
 from aspectra.llm.components import components
 
 SLICES = 8
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {type_of(docs, id_col)}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {type_of(docs, id_col)}, fp long")
 
 
 def ball_masks(radius: int, n_slices: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,10 +173,10 @@ def links(fps: DataFrame, max_bits: int = 4, n_slices: int = SLICES) -> DataFram
 
     found, paths = None, []
     for turn in range(n_slices):
-        dealt = fps.select("fp").mapInArrow(emit(turn), "bucket int, variants binary, masks binary")
+        dealt = fps.select("fp").mapInArrow(lean(emit(turn)), "bucket int, variants binary, masks binary")
         dealt = dealt.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket")
         with shuffles_freed(spark):
-            part, path = stash(dealt.mapInArrow(meet, "a long, b long"), "simhash-links")
+            part, path = stash(dealt.mapInArrow(lean(meet), "a long, b long"), "simhash-links")
         paths.append(path)
         found = part if found is None else found.unionByName(part)
     out, _ = stash(found.distinct(), "simhash-edges")

@@ -19,6 +19,8 @@ from itertools import islice
 
 import numpy as np
 
+from aspectra.llm.common import worker_state
+
 CACHE_ENTRIES = 1_000_000
 
 OTHER_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
@@ -147,14 +149,9 @@ def id_dtype(n_ids: int) -> str:
     return "<u2" if n_ids <= 1 << 16 else "<u4"
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pieces: str) -> Encoder:
-    """One encoder, with its cache, for the life of a Python worker."""
-    if (path, pieces) not in _ENCODERS:
-        _ENCODERS[path, pieces] = Encoder(path, pieces)
-    return _ENCODERS[path, pieces]
+    """One encoder, with its cache, for the tasks of a Python worker until another operator comes."""
+    return worker_state((path, pieces), lambda: Encoder(path, pieces))
 
 
 def vocabulary_path(name: str) -> str:

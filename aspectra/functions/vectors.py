@@ -51,11 +51,12 @@ def fuse_weighted(p_a: Column, p_b: Column, w_a: float = 0.8, w_b: float = 0.2)
 
 
 def fuse_vote(
-    class_a: Column, scores_a: Column, class_b: Column, weight: float = 0.6, threshold: float = 0.4
+    class_a: Column, scores_a: Column, class_b: Column, weight: float = 0.6, threshold: float = 0.4, at_a: Column | None = None
 ) -> Column:
     """Two-model vote: agree -> that class; otherwise A's class if its own raw
-    score times ``weight`` exceeds ``threshold``, else B's class."""
-    own = element(scores_a, class_a)
+    score times ``weight`` exceeds ``threshold``, else B's class. ``at_a`` is the place of
+    A's class in its scores, where classes are not 0, 1, 2 themselves."""
+    own = element(scores_a, class_a if at_a is None else at_a)
     return (
         F.when(class_a == class_b, class_a)
         .when(own * F.lit(weight) > F.lit(threshold), class_a)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aspectra.functions.hashing import hash_bucket, portable_hash
 from aspectra.functions.text import split_ws
@@ -21,14 +22,14 @@ from aspectra.functions.vectors import element
 from aspectra.operators.match import sized_broadcast
 
 SEED = 42
-N_BUCKETS = 256
+# Buckets of a dense index: enough tasks for any table, few enough for a table of bucket sizes.
+N_BUCKETS = 1 << 16
 BROADCAST_OFFSET_ROWS = 1_000_000
 BROADCAST_SYNONYM_ROWS = 2_000_000
 # Draws per task when generating bootstrap slots.
 SLOTS_PER_TASK = 1_000_000
-# Classes up to this size are joined to their draws by broadcast (no hot keys).
-SMALL_CLASS_ROWS = 1_000_000
-BROADCAST_CLASS_ROWS = 4_000_000
+# The smallest classes, up to this many bytes together, are joined to their draws by broadcast (no hot keys).
+BROADCAST_CLASS_BYTES = 64 << 20
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -37,14 +38,28 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return c.select(label, "n", F.max("n").over(Window.partitionBy()).alias("max_n"))
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the size of a row: the bytes of its texts and other values of no fixed width, 16 for each column."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    texts = [F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts]
+    return sum(sizes, F.lit(16 * len(df.columns)).cast("bigint"))
+
+
+def range_bucket(col: Column, lo: int, hi: int, n_buckets: int = N_BUCKETS) -> Column:
+    """At most ``n_buckets`` equal ranges of integers from ``lo`` to ``hi``, however many there are."""
+    return F.floor((col - F.lit(lo)) / F.lit((hi - lo) // n_buckets + 1))
+
+
 def ordered_index(
-    df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "idx"
+    df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "idx", bound: int | None = None
 ) -> DataFrame:
     """Add a dense 0-based index per group following ``order``.
 
     ``bucket`` must be non-decreasing in ``order`` (e.g. the top bits of a hash
     that leads the order): rank inside (group, bucket), then add the sizes of
-    the earlier buckets of the group.
+    the earlier buckets of the group. ``bound``: how many (group, bucket) there are
+    at most, where that is known; then nothing is counted beforehand.
     """
     g = list(groups)
     b = df.withColumn("_bucket", bucket)
@@ -52,13 +67,14 @@ def ordered_index(
     sizes = b.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*g, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    offsets, _ = sized_broadcast(offsets, BROADCAST_OFFSET_ROWS)
+    offsets, _ = sized_broadcast(offsets, BROADCAST_OFFSET_ROWS, bound)
     out = ranked.join(offsets, [*g, "_bucket"])
     return out.withColumn(name, F.col("_off") + F.col("_rn") - 1).drop("_bucket", "_rn", "_off")
 
 
 def bootstrap(
-    df: DataFrame, label: str, keys: Sequence[str], seed: int = SEED, n_buckets: int = N_BUCKETS
+    df: DataFrame, label: str, keys: Sequence[str], seed: int = SEED, n_buckets: int = N_BUCKETS,
+    broadcast_bytes: int = BROADCAST_CLASS_BYTES,
 ) -> DataFrame:
     """Every class drawn with replacement to exactly the largest class size.
 
@@ -69,8 +85,10 @@ def bootstrap(
     spark = df.sparkSession
     df = df.where(F.col(label).isNotNull())  # a row without a class belongs to none
     h = portable_hash("row", seed, *[F.col(k) for k in keys])
-    indexed = ordered_index(df, [label], hash_bucket(n_buckets, "row", seed, *[F.col(k) for k in keys]), [h, *keys])
-    sizes = sorted((r[label], r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect())
+    found = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("bytes")).collect()
+    sizes = sorted((r[label], r["n"]) for r in found)
+    bucket = hash_bucket(n_buckets, "row", seed, *[F.col(k) for k in keys])
+    indexed = ordered_index(df, [label], bucket, [h, *keys], bound=len(sizes) * n_buckets)
     if not sizes:
         return indexed.drop("idx").withColumn("slot", F.lit(None).cast("bigint")).limit(0)
     m = max(n for _, n in sizes)
@@ -87,15 +105,16 @@ def bootstrap(
     draws = draws.select("_cls", "slot", (portable_hash(seed, F.col("_cls"), F.col("slot")) % F.col("_n")).alias("_pick"))
     cond = (F.col("_cls") == F.col(label)) & (F.col("_pick") == F.col("idx"))
     # A small class is drawn many times per row: its (class, index) keys would be
-    # hot in a shuffled join. Its rows (at most SMALL_CLASS_ROWS each, sizes are
-    # known) are broadcast instead; large classes keep the shuffled join, where
-    # each index is drawn only max/n_c times.
-    small = [c for c, n in sizes if n <= SMALL_CLASS_ROWS]
-    large = [c for c, n in sizes if n > SMALL_CLASS_ROWS]
+    # hot in a shuffled join. The smallest classes are broadcast instead, as far as
+    # their measured bytes allow; larger ones keep the shuffled join, where each index
+    # is drawn only max/n_c times.
+    small, large, held = [], [], 0
+    for r in sorted(found, key=lambda r: r["bytes"]):
+        held += r["bytes"]
+        (small if held <= broadcast_bytes else large).append(r[label])
     pieces = []
     if small:
-        bound = sum(n for c, n in sizes if c in small)
-        rows, _ = sized_broadcast(indexed.where(F.col(label).isin(small)), BROADCAST_CLASS_ROWS, bound)
+        rows = F.broadcast(indexed.where(F.col(label).isin(small)))
         pieces.append(draws.where(F.col("_cls").isin(small)).join(rows, cond))
     if large:
         pieces.append(draws.where(F.col("_cls").isin(large)).join(indexed.where(F.col(label).isin(large)), cond))
@@ -134,4 +153,4 @@ def shuffle_index(
     """Seeded full shuffle: a dense index in the order of hash(seed, keys)."""
     ks = [F.col(k) for k in keys]
     h = portable_hash("shuffle", seed, *ks)
-    return ordered_index(df, [], hash_bucket(n_buckets, "shuffle", seed, *ks), [h, *ks], name)
+    return ordered_index(df, [], hash_bucket(n_buckets, "shuffle", seed, *ks), [h, *ks], name, n_buckets)

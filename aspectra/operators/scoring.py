@@ -24,7 +24,7 @@ CLASS_WEIGHTS = (0.5, 2.0, 1.0)
 
 
 def batch_score(
-    col: str, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], dim: int, batch_size: int = 4096
+    col: str | Column, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], dim: int, batch_size: int = 4096
 ) -> Column:
     """ARRAY<DOUBLE> scores of an ARRAY<numeric> column of width ``dim``."""
     from pyspark.ml.functions import predict_batch_udf
@@ -35,7 +35,7 @@ def batch_score(
         batch_size=batch_size,
         input_tensor_shapes=[[dim]],
     )
-    return udf(F.col(col))
+    return udf(F.col(col) if isinstance(col, str) else col)
 
 
 def residue_scorer(n_classes: int = 3, shift: int = 0, sign: float = 1.0, dim: int = 64):

@@ -8,13 +8,16 @@ infer_aspects (one row per clause with an aspect):
 infer_all_hits (notebook variant, one row per line and hit):
     every case-sensitive substring hit -> prompt of (hit, whole line) ->
     model A -> argmax -> lower-case label; aspect_map folds them per line.
+
+Either model may be a ``TextBayes`` or the user's own classifier, a ``UserScorer``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.functions import vectors as V
@@ -31,6 +34,29 @@ CKEYS = ["doc_id", "line_no", "clause_no"]
 VOTE_WEIGHT, VOTE_THRESHOLD = 0.6, 0.4
 
 
+@dataclass
+class UserScorer:
+    """The user's own classifier. ``score`` turns a text column into ARRAY<DOUBLE> raw scores, one per
+    class, for example by ``scoring.batch_score``; the vote holds them against its threshold as they are."""
+
+    classes: Sequence[int]
+    score: Callable[[Column], Column]
+    text: str = "text"
+
+    def vote_scores(self, scores: Column) -> Column:
+        return scores
+
+    def scores(self, rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+        return rows.select(*keys, *carry, self.score(F.col(self.text)).alias("scores"))
+
+
+Model = TextBayes | UserScorer
+
+
+def predicted(model: Model, scores: Column) -> Column:
+    return V.element(F.array(*[F.lit(c) for c in model.classes]), V.argmax(scores))
+
+
 def main_aspects(clauses: DataFrame, lexicon: DataFrame, keys: Sequence[str] = CKEYS) -> DataFrame:
     hits = M.match_word(clauses, "clause", keys, lexicon, carry=["clause"])
     return M.main_aspect(hits, keys, carry=["clause"])
@@ -39,8 +65,8 @@ def main_aspects(clauses: DataFrame, lexicon: DataFrame, keys: Sequence[str] = C
 def infer_aspects(
     clauses: DataFrame,
     lexicon: DataFrame,
-    model_a: TextBayes,
-    model_b: TextBayes,
+    model_a: Model,
+    model_b: Model,
     prompt: str = C.PROMPT,
     keys: Sequence[str] = CKEYS,
 ) -> DataFrame:
@@ -52,12 +78,12 @@ def infer_aspects(
         main_aspects(clauses, lexicon, k).withColumn("prompt", C.aspect_prompt(F.col("aspect"), F.col("clause"), prompt))
     )
     a = model_a.scores(main.select(*k, F.col("prompt").alias(model_a.text), "aspect"), k, carry=["aspect"])
-    a = a.select(*k, "aspect", V.softmax(F.col("scores")).alias("proba_a"))
-    a = a.withColumn("pred_a", V.element(F.array(*[F.lit(c) for c in model_a.model.classes]), V.argmax(F.col("proba_a"))))
+    a = a.select(*k, "aspect", model_a.vote_scores(F.col("scores")).alias("own_a"))
+    a = a.withColumn("at_a", V.argmax(F.col("own_a"))).withColumn("pred_a", predicted(model_a, F.col("own_a")))
     b = model_b.scores(main.select(*k, F.col("clause").alias(model_b.text)), k)
-    b = b.select(*k, V.element(F.array(*[F.lit(c) for c in model_b.model.classes]), V.argmax(F.col("scores"))).alias("pred_b"))
+    b = b.select(*k, predicted(model_b, F.col("scores")).alias("pred_b"))
     both = a.join(b, k)
-    final = V.fuse_vote(F.col("pred_a"), F.col("proba_a"), F.col("pred_b"), VOTE_WEIGHT, VOTE_THRESHOLD)
+    final = V.fuse_vote(F.col("pred_a"), F.col("own_a"), F.col("pred_b"), VOTE_WEIGHT, VOTE_THRESHOLD, F.col("at_a"))
     return both.select(*k, "aspect", "pred_a", "pred_b", final.alias("final")).withColumn(
         "sentiment", P.decode_label_title(F.col("final"))
     )
@@ -66,7 +92,7 @@ def infer_aspects(
 def infer_all_hits(
     lines: DataFrame,
     lexicon_set: DataFrame,
-    model_a: TextBayes,
+    model_a: Model,
     text: str = "sentence",
     prompt: str = C.PROMPT,
     keys: Sequence[str] = ("doc_id", "line_no"),
@@ -74,7 +100,7 @@ def infer_all_hits(
     """keys + (aspect, pred, label): every substring hit scored on its own prompt."""
     k = list(keys)
     pk = [*k, "aspect"]
-    if _shared_text_prompt(model_a, prompt):
+    if isinstance(model_a, TextBayes) and _shared_text_prompt(model_a, prompt):
         # The prompt is head(aspect) ++ line: score the line once and each hit's head on top.
         hits = M.match_substring(lines, text, k, lexicon_set)
         head = C.aspect_prompt(F.col("keyword"), F.lit(""), prompt)
@@ -88,9 +114,7 @@ def infer_all_hits(
             *k, F.col("keyword").alias("aspect"), C.aspect_prompt(F.col("keyword"), F.col(text), prompt).alias(model_a.text)
         )
         scored = model_a.scores(rows, pk)
-    cls = F.array(*[F.lit(c) for c in model_a.model.classes])
-    pred = V.element(cls, V.argmax(F.col("scores")))
-    return scored.select(*pk, pred.alias("pred")).withColumn("label", P.decode_label(F.col("pred")))
+    return scored.select(*pk, predicted(model_a, F.col("scores")).alias("pred")).withColumn("label", P.decode_label(F.col("pred")))
 
 
 def _shared_text_prompt(model: TextBayes, prompt: str) -> bool:

@@ -40,6 +40,25 @@ INFER_SELECT = """SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(clause
 ORACLE["infer_aspects"] = with_(*BASE, *INFER) + INFER_SELECT
 ORACLE["stream_infer"] = ORACLE["infer_aspects"]
 
+def _letters(c: str) -> str:
+    return f"length(prompt) - length(replace(prompt, '{c}', ''))"
+
+
+USER = (
+    INFER[0],
+    f"""ua AS (
+  SELECT doc_id, line_no, clause_no, length(prompt) % 7 - 2 + ({_letters(" ")}) % 6 - 2 AS s0,
+    ({_letters("e")}) % 5 - 2 + ({_letters("o")}) % 3 - 2 AS s1, ({_letters("a")}) % 4 - 2 + ({_letters("t")}) % 5 - 2 AS s2 FROM main_p
+)""",
+    """ia_best AS (
+  SELECT doc_id, line_no, clause_no, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS pred_a,
+    greatest(s0, s1, s2) AS p_a FROM ua
+)""",
+    INFER[3],
+    INFER[-1],
+)
+ORACLE["infer_user_scorer"] = with_(LINES, LEXICON, LINE_HITS, RAW_TRIPLES, PREPARED, SPLIT, MODELS[0], CLAUSES, MAIN, *USER) + INFER_SELECT
+
 HK = ("doc_id", "line_no", "aspect")
 ALL_HITS = (
     f"""hit_p AS (

@@ -136,7 +136,9 @@ def focal_loss(spark: SparkSession, sf: str) -> DataFrame:
 def batch_mean_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Fused cross-entropy averaged per batch of 16 rows (vec_id order), then over batches."""
     f = _fused(spark, sf).select("vec_id", V.cross_entropy(F.col("fused"), F.col("label")).alias("ce"))
-    idx = BL.ordered_index(f, [], (F.col("vec_id") / 4096).cast("bigint"), [F.col("vec_id")], "pos")
+    lo, hi = D.table(spark, sf, "embeddings").agg(F.min("vec_id"), F.max("vec_id")).first()
+    bucket = BL.range_bucket(F.col("vec_id"), lo or 0, hi or 0)
+    idx = BL.ordered_index(f, [], bucket, [F.col("vec_id")], "pos", BL.N_BUCKETS)
     return ME.batch_mean(idx, "ce", "pos", BATCH)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra.operators import match as M
+from aspectra.operators.scoring import batch_score, residue_scorer
 from aspectra.plans import inference as INF
 from aspectra.plans import tables as D
 from aspectra.plans import training as TR
@@ -14,6 +15,10 @@ from aspectra.session import scratch_path
 from aspectra.streaming.infer_stream import run_available
 
 
+# Letters counted by the external model's features, and what each count is reduced by.
+USER_LETTERS, USER_MODULI = ("e", "a", " ", "o", "t"), (7, 5, 4, 6, 3, 5)
+
+
 def _models(spark: SparkSession, sf: str):
     train, _ = TR.split(TR.prepared(spark, sf))
     return TR.prompt_model(train), TR.bayes_model(train)
@@ -26,6 +31,27 @@ def infer_aspects(spark: SparkSession, sf: str) -> DataFrame:
     return INF.infer_aspects(D.clauses(spark, sf), D.ranked_lexicon(spark, sf), a, b, D.PROMPT_EN)
 
 
+def text_features(text: Column) -> Column:
+    """A few counts of a text, as the input of a fixed linear scorer."""
+    n = F.char_length(text)
+    count = [n, *[n - F.char_length(F.replace(text, F.lit(c), F.lit(""))) for c in USER_LETTERS]]
+    return F.array(*[(c % m - 2).cast("double") for c, m in zip(count, USER_MODULI)])
+
+
+def user_scorer() -> INF.UserScorer:
+    dim = len(USER_MODULI)
+    predict = residue_scorer(3, 0, 1.0, dim)
+    return INF.UserScorer((0, 1, 2), lambda text: batch_score(text_features(text), predict, dim))
+
+
+@query("infer_user_scorer")
+def infer_user_scorer(spark: SparkSession, sf: str) -> DataFrame:
+    """M11 with the user's own classifier as model A: raw scores of an external model go into the vote."""
+    train, _ = TR.split(TR.prepared(spark, sf))
+    b = TR.bayes_model(train)
+    return INF.infer_aspects(D.clauses(spark, sf), D.ranked_lexicon(spark, sf), user_scorer(), b, D.PROMPT_EN)
+
+
 @query("stream_infer")
 def stream_infer(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: the same inference over the documents arriving as a file stream

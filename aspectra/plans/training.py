@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aspectra.functions import vectors as V
 from aspectra.operators import bayes as B
 from aspectra.operators import clauses as C
 from aspectra.operators import features as FE
@@ -47,6 +48,14 @@ class TextBayes:
     model: B.NBModel | None = None
     keys: Sequence[str] = tuple(KEYS)  # identify a training row; also the default of the rows scored
 
+    @property
+    def classes(self) -> Sequence[int]:
+        return self.model.classes
+
+    def vote_scores(self, scores: Column) -> Column:
+        """Log-likelihoods are no scores to hold against a threshold; their class probabilities are."""
+        return V.softmax(scores)
+
     def counts(self, rows: DataFrame, keys: Sequence[str] | None = None, carry=()) -> DataFrame:
         return FE.term_counts(rows, self.text, keys or self.keys, self.lo, self.hi, carry=carry)
 

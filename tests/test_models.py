@@ -134,6 +134,21 @@ def test_bootstrap_is_exact_and_deterministic(spark):
     )
 
 
+def test_bootstrap_is_the_same_by_broadcast_and_by_shuffle(spark):
+    data = [(i, "x" * i, 0 if i < 3 else (1 if i < 10 else 2)) for i in range(40)]
+    df = spark.createDataFrame(data, "id bigint, t string, label int")
+    drawn = [sorted(map(tuple, BL.bootstrap(df, "label", ["id"], broadcast_bytes=b).select("label", "slot", "id", "t").collect())) for b in (1 << 20, 200, 0)]
+    assert len(drawn[0]) == 90 and drawn[0] == drawn[1] == drawn[2]
+
+
+def test_range_buckets_follow_the_order_and_are_bounded(spark):
+    for lo, hi in ((0, 0), (5, 104), (-50, 49), (0, 10**15)):
+        ids = sorted({lo, hi, (lo + hi) // 2, lo + (hi - lo) // 3})
+        df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+        got = [r["b"] for r in df.select("id", BL.range_bucket(F.col("id"), lo, hi, 10).alias("b")).orderBy("id").collect()]
+        assert got == sorted(got) and 0 <= got[0] and got[-1] < 10
+
+
 def test_ordered_index_is_dense(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     idx = BL.ordered_index(df, ["g"], (F.col("id") / 50).cast("bigint"), [F.col("id")])

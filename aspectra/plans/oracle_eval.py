@@ -104,6 +104,11 @@ COMPARE = f"""SELECT model, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 E
     UNION ALL SELECT 'b', label, pred_b, {_ce('lb', 'label')} FROM pr
     UNION ALL SELECT 'fused', label, pred, {_ce('fused', 'label')} FROM pr) GROUP BY model"""
 ORACLE["model_compare"] = with_(SCORED) + COMPARE
+ORACLE["model_compare_epochs"] = with_(SCORED) + f"""SELECT CAST(epoch AS BIGINT) AS epoch, model,
+  round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(ce), 6) AS loss FROM (
+    SELECT vec_id % 6 AS epoch, 'a' AS model, label, pred_a AS pred, {_ce('la', 'label')} AS ce FROM pr
+    UNION ALL SELECT vec_id % 6, 'b', label, pred_b, {_ce('lb', 'label')} FROM pr
+    UNION ALL SELECT vec_id % 6, 'fused', label, pred, {_ce('fused', 'label')} FROM pr) GROUP BY epoch, model"""
 ORACLE["best_run"] = """WITH runs AS (
   SELECT event_type AS run, event_id % 6 AS epoch, avg(value) / 100.0 AS accuracy FROM events GROUP BY 1, 2
 ),

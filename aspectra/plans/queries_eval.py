@@ -7,6 +7,8 @@ at positions i = j + 1 (mod 3). The true class is ``label % 3``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,8 +168,15 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     return _compare(_fused(spark, sf))
 
 
-def _compare(f: DataFrame) -> DataFrame:
+@query("model_compare_epochs")
+def model_compare_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same comparison for every epoch of a run."""
+    return _compare(_fused(spark, sf).withColumn("epoch", F.col("vec_id") % 6), ["epoch"])
+
+
+def _compare(f: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     long = f.select(
+        *by,
         "label",
         F.inline(F.array(
             F.struct(F.lit("a").alias("model"), F.col("pred_a").alias("pred"),
@@ -178,7 +187,7 @@ def _compare(f: DataFrame) -> DataFrame:
                      V.cross_entropy(F.col("fused"), F.col("label")).alias("ce")),
         )),
     )
-    return long.groupBy("model").agg(
+    return long.groupBy(*by, "model").agg(
         F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"), F.avg("ce").alias("loss")
     )
 

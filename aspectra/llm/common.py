@@ -79,12 +79,12 @@ def worker_state(key, make: Callable):
 def drop_worker_state() -> None:
     if _STATE:
         _STATE.clear()
+        gc.collect()
         return_memory()
 
 
 def return_memory() -> None:
     """Give freed memory back to the system, which C and Arrow allocators else keep for later."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

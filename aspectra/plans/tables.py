@@ -4,8 +4,8 @@ The review files and the aspect lexicon of the original pipeline are not among
 the driver's tables, so they are derived from them by fixed rules:
 
 * lines    documents.text split on newlines, with position, non-blank.
-* lexicon  every adjacent token pair of lower-cased benchmark.text and the first
-           token of every item: the whole table, no cap and no length filter.
+* lexicon  every token and every adjacent token pair of lower-cased
+           benchmark.text: the whole table, no cap and no length filter.
 * triples  labelled lines with their main aspect; code -1 if toxic, 0 if low
            quality, else 1; raw sentence = lower-cased line with the aspect
            replaced by the placeholder. Hold-out rows: doc_id % 5 = 0.
@@ -63,7 +63,7 @@ def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice("t", 2, F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return bench.select(F.explode(F.concat(F.slice("t", 1, 1), pairs)).alias("value")).distinct()
+    return bench.select(F.explode(F.concat("t", pairs)).alias("value")).distinct()
 
 
 def ranked_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

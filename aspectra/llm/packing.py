@@ -28,11 +28,11 @@ from aspectra.llm.tokens import encoder
 ROWS = 512
 
 
-def token_runs(docs: DataFrame, tokenizer: str, end_id: int, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_runs(docs: DataFrame, tokenizer: str, end_id: int, pieces: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """First pass: (part, local_start, id, n, ids) with ids packed; part numbers the task."""
 
     def run(batches):
-        enc, part, at = encoder(tokenizer, pieces), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(tokenizer, pieces, special_as_text), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         width = len(end)
         for b in slices(batches, ROWS):
@@ -88,12 +88,13 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = True,
+    special_as_text: bool = True,
 ) -> DataFrame:
     """Pieces of all documents. The boundary record of a cut is in ``continues`` (the piece
     starts inside its document) and ``continued`` (the document goes on in the next window).
     ``ids``: the piece's ids as little-endian 32-bit integers, null unless ``with_ids``."""
     spark = docs.sparkSession
-    runs, _ = stash(token_runs(docs, tokenizer, end_id, pieces, id_col, text_col), "pack-runs")
+    runs, _ = stash(token_runs(docs, tokenizer, end_id, pieces, id_col, text_col, special_as_text), "pack-runs")
     # One row per write task, so this is bounded by the number of tasks, not of documents.
     totals = runs.groupBy("part").agg(F.max(F.col("local_start") + F.col("n")).alias("total")).orderBy("part").collect()
     offsets, at = [], 0

@@ -28,7 +28,7 @@ MIX_KEEP = 0.5
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    pieces = packing.pack(docs, vocabulary_path(WORD_VOCABULARY), window=2048, end_id=1, pieces="words", with_ids=False)
+    pieces = packing.pack(docs, vocabulary_path(WORD_VOCABULARY), window=2048, end_id=1, pieces="words", with_ids=False, special_as_text=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -43,7 +43,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY), end_id=2, pieces="spaced")
+    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY), end_id=2, pieces="spaced", special_as_text=False)
     return token_files.read_token_files(spark, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

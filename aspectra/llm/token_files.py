@@ -112,14 +112,14 @@ class FrameReader:
 
 def write_token_files(
     docs: DataFrame, tokenizer: str, end_id: int = 2, pieces: str = "whole", id_col: str = "doc_id", text_col: str = "text",
-    root: str | None = None, files: int | None = None,
+    root: str | None = None, files: int | None = None, special_as_text: bool = True,
 ) -> DataFrame:
     """Write all documents; returns the manifest, one row per file, as a stashed table."""
     spark = docs.sparkSession
     root = root or scratch_path(spark, "token-files")
 
     def write(batches):
-        enc, part, w, n_docs, n_tokens = encoder(tokenizer, pieces), TaskContext.get().partitionId(), None, 0, 0
+        enc, part, w, n_docs, n_tokens = encoder(tokenizer, pieces, special_as_text), TaskContext.get().partitionId(), None, 0, 0
         end = np.array([end_id], enc.dtype).tobytes()
         for b in slices(batches, 512):
             if w is None:

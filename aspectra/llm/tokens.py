@@ -9,6 +9,10 @@ saves most of the encoding. ``pieces`` names the rule that holds for the tokeniz
 * ``"spaced"`` byte-level pre-tokens hold white space only at their start, so every place
   where white space follows something else is a boundary: cut there.
 * ``"whole"``  no cut; right for every tokenizer.
+
+The string of a special token in a text is ordinary text with ``special_as_text``; without, it has the
+special id, as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives it. Special tokens hold no
+white space, so they fall into one piece, which is then encoded whole.
 """
 
 from __future__ import annotations
@@ -73,12 +77,15 @@ PARTS = {"words": parts_of_word, "spaced": parts_of_spaced, "whole": None}
 
 
 class Encoder:
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, path: str, pieces: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        # Also in another case: a piece that is lower-cased first must not become one.
+        self.special = re.compile("|".join(special), re.IGNORECASE) if special else None
         self.cut, self.parts = CUTS[pieces], PARTS[pieces]
         self.dtype = id_dtype(self.tok.get_vocab_size())
         self.keep = pieces != "whole"
@@ -108,7 +115,8 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Put new pieces in the cache, put together from parts that many of them share."""
         cache = self.cache
-        new = {piece: self.parts(piece) for piece in pieces}
+        whole = self.special.search if self.special else lambda piece: None
+        new = {piece: [piece] if whole(piece) else self.parts(piece) for piece in pieces}
         lack = {x for xs in new.values() for x in xs}.difference(cache)
         self._encode_joined([x for x in lack if self.plain.fullmatch(x)])
         rest = [x for x in lack if x not in cache]
@@ -149,9 +157,9 @@ def id_dtype(n_ids: int) -> str:
     return "<u2" if n_ids <= 1 << 16 else "<u4"
 
 
-def encoder(path: str, pieces: str) -> Encoder:
+def encoder(path: str, pieces: str, special_as_text: bool = True) -> Encoder:
     """One encoder, with its cache, for the tasks of a Python worker until another operator comes."""
-    return worker_state((path, pieces), lambda: Encoder(path, pieces))
+    return worker_state((path, pieces, special_as_text), lambda: Encoder(path, pieces, special_as_text))
 
 
 def vocabulary_path(name: str) -> str:

@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2048 tokens."""
-    pieces = packing.pack(docs, vocabulary_path(WORD_VOCABULARY), window=2048, end_id=1, pieces="words", with_ids=False)
+    pieces = packing.pack(docs, vocabulary_path(WORD_VOCABULARY), window=2048, end_id=1, pieces="words", with_ids=False, special_as_text=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

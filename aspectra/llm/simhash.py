@@ -185,7 +185,8 @@ def links(fps: DataFrame, max_bits: int = 4, n_slices: int = SLICES) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp, component_id): every row's fingerprint and the smallest id reachable by links."""
+    """(id, fp, component_id, first): every row's fingerprint, the smallest id reachable by links, and whether the row has
+    its component's smallest (id, fp). Equal rows are all first; where ids repeat, components may share a component_id."""
     with shuffles_freed(docs.sparkSession):
         fps, _ = stash(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fps")
         nodes, _ = stash(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
@@ -193,6 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # A component's id is the smallest document id of its fingerprints.
         placed = nodes.join(of.select(F.col("node").alias("fp"), "component"), "fp", "left")
         placed = placed.select("fp", "least", F.coalesce("component", "fp").alias("root"))
-        roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        classes, _ = stash(placed.join(roots, "root").select("fp", "component_id"), "simhash-classes")
-    return fps.join(classes, "fp").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+        smallest = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp")))
+        roots = placed.groupBy("root").agg(smallest.alias("head"))
+        heads = placed.join(roots, "root").select("fp", F.col("head.least").alias("component_id"), F.col("head.fp").alias("head_fp"))
+        classes, _ = stash(heads, "simhash-classes")
+    first = (F.col("id") == F.col("component_id")) & (F.col("fp") == F.col("head_fp"))
+    return fps.join(classes, "fp").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), first.alias("first"))

@@ -6,7 +6,9 @@ The language models are fitted on the labelled rows of the stage's own input. Al
 return the columns of ``docs``; ``n_chars``, where there is one, follows the text.
 
 Tables without rows go through all stages. A row with a null ``doc_id`` is handled as each operator states;
-SimHash keeps such rows, as they have no component.
+SimHash keeps such rows, as they have no component. Where rows repeat a ``doc_id``, SimHash keeps exactly one
+row of each component: that of the smallest id, then fingerprint, then text. Rows of that id in other
+components are judged by their own.
 """
 
 from __future__ import annotations
@@ -39,9 +41,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near-equal fingerprints."""
-    groups = simhash.near_duplicates(docs).where("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["_gone"], "left_anti")
+    """The first row of each component of near-equal fingerprints, and rows without an id."""
+    rows, _ = stash(simhash.near_duplicates(docs).where("id is not null"), "pipeline-groups")
+    ids = rows.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("first").alias("_any"))
+    repeated = ids.where("_any and _n > 1")
+    # Where no id is repeated, an id stands for its row.
+    if repeated.isEmpty():
+        return docs.join(ids.where("not _any"), docs["doc_id"] == F.col("_id"), "left_anti")
+    single = docs.join(ids.where("not _any or _n > 1"), docs["doc_id"] == F.col("_id"), "left_anti")
+    some = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_fp", F.udf(signed_fingerprint, "long")("text"))
+    firsts = rows.where("first").select(F.col("id").alias("_id"), F.col("fp").alias("_first")).distinct()
+    some = some.join(firsts, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_first")))
+    # Of rows with the same id and fingerprint, the first by text, then by all columns.
+    row = F.struct(*docs.columns)
+    least = F.min_by(row, F.struct("text", F.to_json(row)))
+    return single.unionByName(some.groupBy("doc_id", "_fp").agg(least.alias("_row")).select("_row.*"))
+
+
+def signed_fingerprint(text: str | None) -> int:
+    fp = simhash.fingerprint(text)
+    return fp - (1 << 64) if fp >> 63 else fp
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

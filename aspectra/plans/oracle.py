@@ -74,7 +74,7 @@ lines AS (SELECT doc_id, line_no, line AS sentence FROM raw_lines WHERE {strip('
 LEXICON = f"""bench_tok AS (SELECT {word_runs('lower(text)')} AS t FROM benchmark),
 lexicon AS (
   SELECT DISTINCT keyword FROM (
-    SELECT unnest(list_concat(t[1:1], list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS keyword
+    SELECT unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS keyword
     FROM bench_tok)
 ),
 lex AS (

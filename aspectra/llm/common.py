@@ -9,9 +9,13 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from aspectra.operators.balance import row_bytes
 from aspectra.session import scratch_path
 
+BROADCAST_BYTES = 32 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -48,6 +52,11 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of a (small or written) table together take at most so many bytes; they are counted."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

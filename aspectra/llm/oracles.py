@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from aspectra.llm.mixing import ROUNDS, SEED
-from aspectra.llm.queries import MIX_KEEP, MIX_TARGETS, TOPICS
+from aspectra.llm.queries import MIX_KEEP, MIX_TARGETS, TOPICS, URL_RULES
+from aspectra.llm.url_rules import BASKET, LOWER, MIN_CONFIDENCE, MIN_SUPPORT, UPPER
 
 WHITE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -65,6 +66,105 @@ FROM embeddings x LEFT JOIN c USING (vec_id) LEFT JOIN g USING (vec_id)
 """
 
 
+# Bytes of a decimal id, one after another, through the bitwise CRC of the reflected polynomial.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+
+
+def _written(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"({_written(x)})" for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _step(place: str) -> str:
+    """The entry of a node's path at a level whose nodes are ``nodes``."""
+    at = f"({place} >> lvl)"
+    return f"CASE WHEN {at} % 2 = 1 THEN 'L' || nodes[{at}] WHEN {at} + 2 <= len(nodes) THEN 'R' || nodes[{at} + 2] ELSE 'N' END"
+
+
+_UP = "list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))"
+
+OP11 = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS changed, coalesce({CRC} % 7 = 0, false) AS tampered FROM documents
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l
+), g(lang, lvl, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY place) FROM d GROUP BY lang
+  UNION ALL SELECT lang, lvl + 1, {_UP} FROM g WHERE len(nodes) > 1
+), s AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM g WHERE len(nodes) = 1
+), t(lvl, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM s
+  UNION ALL SELECT lvl + 1, {_UP} FROM t WHERE len(nodes) > 1
+), below AS (
+  SELECT d.doc_id, d.lang, d.place, list({_step("d.place")} ORDER BY lvl) FILTER (len(nodes) > 1) AS path
+  FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang GROUP BY ALL
+), above AS (
+  SELECT s.lang, s.subroot, list({_step("s.place")} ORDER BY lvl) FILTER (len(nodes) > 1) AS path FROM s, t GROUP BY ALL
+), p AS (
+  SELECT d.doc_id, leaf, subroot, (SELECT nodes[1] FROM t WHERE len(nodes) = 1) AS root,
+         list_concat(coalesce(b.path, []), coalesce(a.path, [])) AS path, CASE WHEN tampered THEN coalesce(changed, leaf) ELSE leaf END AS claimed
+  FROM d JOIN below b ON d.lang IS NOT DISTINCT FROM b.lang AND d.place = b.place JOIN above a ON d.lang IS NOT DISTINCT FROM a.lang
+), f AS (
+  SELECT *, list_reduce(list_prepend(claimed, path), lambda x, e: sha256(CASE WHEN e[1] = 'L' THEN e[2:] || x ELSE x || e[2:] END)) AS folded_root FROM p
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda e: e[2:]), '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM f
+"""
+
+
+def _words(prefix: str, text: str) -> str:
+    return f"list_transform(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '[\\p{{L}}\\p{{N}}]+'), lambda w: '{prefix}' || w)"
+
+
+def op12() -> str:
+    fits = []
+    for rule in sorted(URL_RULES, key=len, reverse=True):
+        host, slash, path = rule.partition("/")
+        fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}') THEN '{rule}'")
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in URL_RULES.items())
+    words = ", ".join(_words(k, c) for k, c in (("s:", "scheme"), ("h:", "host"), ("p:", "path"), ("q:", "rest")))
+    return f"""
+WITH u AS (
+  SELECT page_id, row_number() OVER () AS row, coalesce(strpos(url, '://'), 0) AS sep, url FROM pages
+), h AS (
+  SELECT page_id, row, CASE WHEN sep > 0 THEN substr(url, 1, sep - 1) ELSE '' END AS scheme,
+         CASE WHEN sep > 0 THEN translate(regexp_extract(substr(url, sep + 3), '^[^/?#]*', 0), '{UPPER}', '{LOWER}') ELSE '' END AS host,
+         CASE WHEN sep > 0 THEN regexp_extract(substr(url, sep + 3), '^[^/?#]*([^?#]*)([\\s\\S]*)', 1) ELSE '' END AS path,
+         CASE WHEN sep > 0 THEN regexp_extract(substr(url, sep + 3), '^[^/?#]*([^?#]*)([\\s\\S]*)', 2) ELSE '' END AS rest
+  FROM u
+), p AS MATERIALIZED (
+  SELECT *, CASE rule {verdicts} END AS verdict FROM (
+    SELECT *, CASE {" ".join(fits)} END AS rule, list_distinct(flatten([{words}])) AS tokens FROM h)
+), n AS (
+  SELECT count(*) AS n, count(*) FILTER (verdict = 'block') AS blocked FROM p WHERE rule IS NOT NULL
+), x AS (
+  SELECT row, verdict, unnest(tokens) AS token FROM p WHERE rule IS NOT NULL
+), f AS (
+  SELECT token, count(*) AS seen, abs(CAST(count(*) FILTER (verdict = 'block') AS HUGEINT) * (SELECT n FROM n) - CAST(count(*) AS HUGEINT) * (SELECT blocked FROM n)) AS told
+  FROM x GROUP BY token HAVING count(*) >= {MIN_SUPPORT} * (SELECT n FROM n)
+), b AS MATERIALIZED (
+  SELECT row, verdict, list(token ORDER BY told DESC, seen DESC, token)[1:{BASKET}] AS items FROM x JOIN f USING (token) GROUP BY ALL
+), c AS MATERIALIZED (
+  SELECT needs, verdict, count(*) AS hits FROM (
+    SELECT verdict, list_sort(list_filter(items, lambda t, i: (mask >> (i - 1)) & 1 = 1)) AS needs
+    FROM (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM b))
+  GROUP BY ALL
+), r AS MATERIALIZED (
+  SELECT needs, verdict, hits, hits / sum(hits) OVER (PARTITION BY needs) AS confidence FROM c
+  QUALIFY hits >= ceil({MIN_SUPPORT} * (SELECT count(*) FROM b)) AND confidence >= {MIN_CONFIDENCE}
+), m AS (
+  SELECT p.row, r.verdict FROM p JOIN r ON list_has_all(p.tokens, r.needs) WHERE p.rule IS NULL
+  QUALIFY row_number() OVER (PARTITION BY p.row ORDER BY confidence DESC, hits DESC, r.verdict = 'block' DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(p.verdict, m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (row)"""
+
+
 def _count(markers) -> str:
     return "(" + " + ".join(f"(length(whole) - length(replace(whole, '{m}', ''))) / {len(m)}" for m in markers) + ")"
 
@@ -105,4 +205,4 @@ FROM base b JOIN chance c ON b.source = c.source AND b.lang = c.lang AND b.topic
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_warc": OP2, "op5_mixing": op5(), "op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_topk": OP10}
+    return {"op2_warc": OP2, "op5_mixing": op5(), "op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_topk": OP10, "op11_merkle": OP11, "op12_url_rules": op12()}

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aspectra.llm import embedding_dedup, exact_topk, language_id, line_dedup, mixing, packing, simhash, substring_dedup, token_files, warc
+from aspectra.llm import alignment, embedding_dedup, exact_topk, language_id, line_dedup, merkle, mixing, packing, simhash, substring_dedup, token_files, url_rules, warc
 from aspectra.llm.common import read_table
 from aspectra.llm.tokens import vocabulary_path
 
-WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOPICS = {
     "code": ("def ", "return ", "import ", "{", "}", ";"),
     "legal": ("icense", "opyright", "arranty"),
@@ -24,6 +24,7 @@ MIX_TARGETS = {
     "topic": {"general": 0.6, "legal": 0.1, "web": 0.1, "table": 0.1, "code": 0.1},
 }
 MIX_KEEP = 0.5
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +89,32 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    tampered = merkle.leaf([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields])
+    made = merkle.manifest(read_table(spark, sf_dir, "documents"), "doc_id", "lang", fields, {"claimed": F.when(changed, tampered)})
+    out = made.proofs().select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("claimed", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found, _ = alignment.align(docs, vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY), with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_warc, op3_suffix_dedup, op4_token_files, op5_mixing, op6_simhash,
-        op7_embedding_dedup, op8_language_id, op9_line_dedup, op10_topk,
+        op7_embedding_dedup, op8_language_id, op9_line_dedup, op10_topk, op11_merkle, op12_url_rules,
+        op13_alignment,
     )
     return {f.__name__: f for f in found}

@@ -234,5 +234,6 @@ def all_oracles() -> dict[str, str]:
     from aspectra.plans import oracle_model  # noqa: F401  (registers more entries)
     from aspectra.plans import oracle_eval  # noqa: F401
     from aspectra.plans import oracle_infer  # noqa: F401
+    from aspectra.plans import oracle_fit  # noqa: F401
 
     return dict(ORACLE)

@@ -16,28 +16,28 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def _bind(value: Column, use) -> Column:
+def bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once: lambdas get it as a variable,
     where an expression inside a lambda would be computed for every element."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _shares(arr: Column) -> Column:
-    return _bind(arr, lambda a: _bind(_sum(a), lambda total: F.transform(a, lambda x: x / total)))
+    return bind(arr, lambda a: bind(_sum(a), lambda total: F.transform(a, lambda x: x / total)))
 
 
 def softmax(scores: Column) -> Column:
     """exp(s - max) / sum, the max subtracted for stability."""
-    return _bind(scores, lambda s: _bind(F.array_max(s), lambda m: _shares(F.transform(s, lambda x: F.exp(x - m)))))
+    return bind(scores, lambda s: bind(F.array_max(s), lambda m: _shares(F.transform(s, lambda x: F.exp(x - m)))))
 
 
 def log_sum_exp(scores: Column) -> Column:
-    return _bind(scores, lambda s: _bind(F.array_max(s), lambda m: m + F.log(_sum(F.transform(s, lambda x: F.exp(x - m))))))
+    return bind(scores, lambda s: bind(F.array_max(s), lambda m: m + F.log(_sum(F.transform(s, lambda x: F.exp(x - m))))))
 
 
 def argmax(scores: Column) -> Column:
     """0-based index of the largest element; the first one on ties."""
-    return _bind(scores, lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
+    return bind(scores, lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def element(arr: Column, index0: Column) -> Column:

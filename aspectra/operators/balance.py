@@ -14,9 +14,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from aspectra.functions.hashing import hash_bucket, portable_hash
+from aspectra.functions.sizes import row_bytes
 from aspectra.functions.text import split_ws
 from aspectra.functions.vectors import element
 from aspectra.operators.match import sized_broadcast
@@ -38,14 +38,6 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return c.select(label, "n", F.max("n").over(Window.partitionBy()).alias("max_n"))
 
 
-def row_bytes(df: DataFrame) -> Column:
-    """About the size of a row: the bytes of its texts and other values of no fixed width, 16 for each column."""
-    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
-    texts = [F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if not isinstance(f.dataType, fixed)]
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts]
-    return sum(sizes, F.lit(16 * len(df.columns)).cast("bigint"))
-
-
 def range_bucket(col: Column, lo: int, hi: int, n_buckets: int = N_BUCKETS) -> Column:
     """At most ``n_buckets`` equal ranges of integers from ``lo`` to ``hi``, however many there are."""
     return F.floor((col - F.lit(lo)) / F.lit((hi - lo) // n_buckets + 1))

@@ -1,8 +1,8 @@
 """Lexicon matching: substring hits, whole-word hits, the main aspect, coverage
 and the per-sentence aspect map.
 
-The lexicon side is broadcast only after its row count is checked against a
-bound; beyond the bound the same candidates come from a shuffled equi-join,
+The lexicon side is broadcast only after its rows (and, for whole words, its bytes)
+are checked against a bound; beyond the bound the same candidates come from a shuffled equi-join,
 so no path depends on the lexicon being small.
 """
 
@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aspectra.functions.text import MARK, mark_tokens, word_runs
+from aspectra.functions.sizes import row_bytes
+from aspectra.functions.text import MARK, WORD_CLASS, mark_tokens, word_runs
+from aspectra.functions.vectors import bind
 
-# Largest lexicon (rows) that is broadcast to every task.
+# Largest lexicon, in rows and in measured bytes, that is broadcast to every task.
 BROADCAST_LEXICON_ROWS = 200_000
+BROADCAST_LEXICON_BYTES = 64 << 20
 
 
 def sized_broadcast(df: DataFrame, max_rows: int, bound: int | None = None) -> tuple[DataFrame, bool]:
@@ -60,18 +63,68 @@ def lexicon_ranked(lines: DataFrame, col: str = "value") -> DataFrame:
     Token marks stand exactly at word boundaries, so a keyword with a mark at
     either end is found where a boundary search finds it, also if the keyword
     begins or ends with punctuation; an empty keyword is found at any boundary.
-    ``kw_first`` is the first word run, empty if there is none.
+    ``kw_first`` is the first word run, empty if there is none; ``kw_key`` the marked keyword without the
+    outer marks, ``kw_parts`` the parts that marks divide it into, ``kw_begins`` whether a word run is its first.
     """
     kw = lines.select(F.lower(F.col(col)).alias("keyword")).where(F.col("keyword").isNotNull()).distinct()
     marked = mark_tokens(F.col("keyword"))
     begun = F.when(F.startswith(marked, F.lit(MARK)), marked).otherwise(F.concat(F.lit(MARK), marked))
     ended = F.when(F.endswith(begun, F.lit(MARK)), begun).otherwise(F.concat(begun, F.lit(MARK)))
-    return kw.select(
+    inside = F.when(ended == MARK, F.lit("")).otherwise(F.substr(ended, F.lit(2), F.char_length(ended) - 2))
+    out = kw.select(
         "keyword",
         F.char_length("keyword").alias("kw_len"),
         ended.alias("kw_marked"),
         F.coalesce(F.try_element_at(word_runs(F.col("keyword")), F.lit(1)), F.lit("")).alias("kw_first"),
+        inside.alias("kw_key"),
     )
+    parts = F.when(F.col("kw_marked") == MARK, F.lit(0)).otherwise(F.size(F.split("kw_key", MARK)))
+    return out.withColumns({"kw_parts": parts, "kw_begins": F.rlike("kw_key", F.lit(f"^[{WORD_CLASS}]"))})
+
+
+def with_rank(lexicon: DataFrame) -> DataFrame:
+    """The ranked lexicon with ``kw_rank``: 0, 1, ... longest first, then by keyword. A phrase's rank takes the place of the
+    phrase in joins and in the choice of the longest hit.
+
+    Ranked within each length and moved behind all longer phrases: one row per length, however large the lexicon.
+    """
+    within = F.row_number().over(Window.partitionBy("kw_len").orderBy("keyword"))
+    longer = F.sum("_n").over(Window.orderBy(F.col("kw_len").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = lexicon.groupBy("kw_len").agg(F.count(F.lit(1)).alias("_n")).select("kw_len", F.coalesce(longer, F.lit(0)).alias("_before"))
+    placed = lexicon.withColumn("_rank", within).join(sizes, "kw_len")
+    return placed.select(*lexicon.columns, (F.col("_before") + F.col("_rank") - 1).cast("int").alias("kw_rank"))
+
+
+def phrase_shapes(lexicon: DataFrame) -> tuple[list[tuple[bool, int]], int, int]:
+    """((begins with a word run, parts) of the phrases, rows, bytes), in one pass: at most two shapes for each
+    number of parts, so the list is bounded by the longest phrase."""
+    found = lexicon.agg(
+        F.array_sort(F.collect_set(F.struct("kw_begins", "kw_parts"))).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(row_bytes(lexicon)).alias("b")
+    ).first()
+    return [(r["kw_begins"], r["kw_parts"]) for r in found["s"]], found["n"], found["b"] or 0
+
+
+def phrase_keys(text: Column, shapes: Sequence[tuple[bool, int]]) -> Column:
+    """Distinct places of a (lower-cased) text where phrases of some shapes may stand, written like ``kw_key``.
+
+    The marked text is divided at its marks; word runs and what stands between them take turns. A phrase stands wherever
+    as many parts as it has, with a mark on both sides, are its own. In time linear in the text for each shape.
+    """
+
+    def of_shape(parts: Column, loose: Column, begins: bool, n: int) -> Column:
+        if n == 0:
+            return F.when(F.size(parts) > 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        # A mark that the text has itself breaks the turns: then every part may be the first.
+        first, last = F.when(loose, F.lit(1)).otherwise(F.lit(1 if begins else 2)), F.size(parts) - 1 - n
+        step = F.when(loose, F.lit(1)).otherwise(F.lit(2))
+        key = (lambda s: F.get(parts, s)) if n == 1 else (lambda s: F.array_join(F.slice(parts, s + 1, n), MARK))
+        return F.when(last >= first, F.transform(F.sequence(first, last, step), key)).otherwise(F.array().cast("array<string>"))
+
+    if not shapes:
+        return F.array().cast("array<string>")
+    loose = F.contains(text, F.lit(MARK))
+    every = lambda parts: F.array_distinct(F.concat(*[of_shape(parts, loose, *shape) for shape in shapes]))
+    return bind(F.split(mark_tokens(text), MARK), every)
 
 
 PREFIX = 3  # characters of a keyword that candidates are found by
@@ -128,22 +181,23 @@ def match_word(
 ) -> DataFrame:
     """All whole-word hits of the ranked lexicon in the lower-cased text.
 
-    Candidates come from an equi-join of the text's distinct word runs with the
-    keyword's first run; the exact test is containment of the token-marked
-    keyword in the token-marked text. Output: keys + carry + keyword, kw_len.
+    An equi-join on the whole phrase: every place of the text that has the shape of a phrase is looked
+    up, so the work is the text's tokens and the hits, and no text is searched for a phrase.
+    Output: keys + carry + keyword, kw_len, and ``kw_rank`` if the lexicon has it.
     """
-    lex, small = sized_broadcast(lexicon.select("keyword", "kw_len", "kw_marked", "kw_first"), max_broadcast_rows)
-    low = F.lower(F.col(text))
-    # Mark once per row, then explode: a marked text computed after the
-    # explode would be rebuilt for every token of the row.
-    marked = df.select(*keys, *carry, mark_tokens(low).alias("_marked"), word_runs(low).alias("_runs"))
-    # The empty run stands for keywords without a word run.
-    runs = F.array_distinct(F.concat(F.array(F.lit("")), F.col("_runs")))
-    rows = marked.select(*keys, *carry, "_marked", F.explode(runs).alias("kw_first"))
-    # Broadcast lexicon: hash join in every task. Otherwise a shuffled join whose
-    # hot first tokens are salted.
-    joined = rows.join(lex, "kw_first") if small else salted_join(rows, lex, "kw_first", keys)
-    return joined.where(F.contains(F.col("_marked"), F.col("kw_marked"))).select(*keys, *carry, "keyword", "kw_len")
+    named = ["keyword", "kw_len"] + (["kw_rank"] if "kw_rank" in lexicon.columns else [])
+    shapes, n, size = phrase_shapes(lexicon)
+    lex = lexicon.select(*named, F.col("kw_key").alias("_key"))
+    rows = df.select(*keys, *carry, F.explode(phrase_keys(F.lower(F.col(text)), shapes)).alias("_key"))
+    # Otherwise a shuffled join whose hot words are salted.
+    small = n <= max_broadcast_rows and size <= BROADCAST_LEXICON_BYTES
+    joined = rows.join(F.broadcast(lex), "_key") if small else salted_join(rows, lex, "_key", keys)
+    return joined.select(*keys, *carry, *named)
+
+
+def main_phrase(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys + ``kw_rank`` of the longest hit: integers only, so the aggregate hashes and spills little."""
+    return hits.groupBy(*keys).agg(F.min("kw_rank").alias("kw_rank"))
 
 
 def main_aspect(hits: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:

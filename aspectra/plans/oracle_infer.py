@@ -38,7 +38,8 @@ INFER_SELECT = """SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(clause
   CAST(pred_a AS BIGINT) AS pred_a, CAST(pred_b AS BIGINT) AS pred_b, CAST(final AS BIGINT) AS final,
   CASE WHEN final = 2 THEN 'Positive' WHEN final = 1 THEN 'Neutral' ELSE 'Negative' END AS sentiment FROM voted"""
 ORACLE["infer_aspects"] = with_(*BASE, *INFER) + INFER_SELECT
-ORACLE["stream_infer"] = ORACLE["infer_aspects"]
+for name in ("stream_infer", "stream_infer_batches", "infer_row_local"):
+    ORACLE[name] = ORACLE["infer_aspects"]
 
 def _letters(c: str) -> str:
     return f"length(prompt) - length(replace(prompt, '{c}', ''))"

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from aspectra.operators import match as M
 from aspectra.operators.scoring import batch_score, residue_scorer
 from aspectra.plans import inference as INF
+from aspectra.plans import row_local as RL
 from aspectra.plans import tables as D
 from aspectra.plans import training as TR
 from aspectra.plans.catalog import query
 from aspectra.session import scratch_path
+from aspectra.streaming.append import append_available
 from aspectra.streaming.infer_stream import run_available
 
 
@@ -52,10 +54,45 @@ def infer_user_scorer(spark: SparkSession, sf: str) -> DataFrame:
     return INF.infer_aspects(D.clauses(spark, sf), D.ranked_lexicon(spark, sf), user_scorer(), b, D.PROMPT_EN)
 
 
+def _local_models(spark: SparkSession, sf: str) -> tuple[RL.LocalLexicon, RL.LocalBayes, RL.LocalBayes]:
+    a, b = _models(spark, sf)
+    ranked = TR.materialize(M.with_rank(D.ranked_lexicon(spark, sf)))
+    return RL.LocalLexicon.of(ranked), RL.LocalBayes.of(a), RL.LocalBayes.of(b)
+
+
+def _arriving(spark: SparkSession, sf: str) -> dict[str, str | None]:
+    """The documents as a stream's source: the folder itself, or the one file of that name."""
+    path = f"{sf.rstrip('/')}/documents.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return {"source_path": path, "glob": None} if folder else {"source_path": sf, "glob": "documents.parquet"}
+
+
 @query("stream_infer")
 def stream_infer(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1: the same inference over the documents arriving as a file stream
-    (availableNow trigger, one micro-batch per file group, idempotent sink)."""
+    """ST1: the same inference over the documents arriving as a file stream: a row-local plan in append mode into a
+    file sink with its commit log, no batch function, aggregate or state."""
+    lexicon, a, b = _local_models(spark, sf)
+
+    def transform(docs: DataFrame) -> DataFrame:
+        return RL.infer_rows(D.doc_clauses(docs.select("doc_id", "text")), lexicon, a, b, D.PROMPT_EN)
+
+    root = scratch_path(spark, "stream")
+    schema = D.table(spark, sf, "documents").schema
+    return append_available(spark, schema=schema, transform=transform, sink_path=f"{root}/sink", checkpoint_path=f"{root}/checkpoint", **_arriving(spark, sf))
+
+
+@query("infer_row_local")
+def infer_row_local(spark: SparkSession, sf: str) -> DataFrame:
+    """M11 with the row-local plan in a batch: one projection after another, no shuffle after the documents are spread."""
+    lexicon, a, b = _local_models(spark, sf)
+    return RL.infer_rows(D.clauses(spark, sf), lexicon, a, b, D.PROMPT_EN)
+
+
+@query("stream_infer_batches")
+def stream_infer_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 by micro-batch functions, for a lexicon or model beyond the literals' bound: joins and aggregates in each
+    micro-batch, an idempotent sink."""
     a, b = _models(spark, sf)
     lexicon = TR.materialize(D.ranked_lexicon(spark, sf))
     schema = D.table(spark, sf, "documents").schema
@@ -65,7 +102,7 @@ def stream_infer(spark: SparkSession, sf: str) -> DataFrame:
         return INF.infer_aspects(D.doc_clauses(docs), lexicon, a, b, D.PROMPT_EN)
 
     root = scratch_path(spark, "stream")
-    return run_available(spark, sf, schema, transform, f"{root}/sink", f"{root}/checkpoint", glob="documents.parquet")
+    return run_available(spark, schema=schema, transform=transform, sink_path=f"{root}/sink", checkpoint_path=f"{root}/checkpoint", **_arriving(spark, sf))
 
 
 def _all_hits(spark: SparkSession, sf: str) -> DataFrame:

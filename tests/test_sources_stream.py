@@ -55,7 +55,7 @@ def test_every_query_runs_on_smallest_tables(spark):
     sql = E.oracle_sql()
     assert len(qs) >= 60
     missing = set(qs) - set(sql)
-    assert {n for n in missing if n != "pipeline" and not n.startswith("op")} == {"lr_train_score"}
+    assert {n for n in missing if n != "pipeline" and not n.startswith("op")} == {"lr_train_score", "pipeline_store_score"}
     for name in ("aspect_counts", "prepare_triples", "nb_report", "fuse_vote", "best_run", "bootstrap_balance"):
         assert qs[name](spark, SF001).count() >= 0
     assert E.entry(spark).count() > 0

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aspectra.functions import vectors as V
+from aspectra.functions.sizes import row_bytes
 from aspectra.operators.match import sized_broadcast
 from aspectra.session import checkpoint
 
 # Largest term table broadcast for scoring (vocabulary x classes rows).
 BROADCAST_TERM_ROWS = 5_000_000
+# Largest table of prompt heads, in measured bytes, that is broadcast to the pairs.
+BROADCAST_HEAD_BYTES = 64 << 20
 
 
 @dataclass
@@ -198,6 +201,68 @@ def joint_log_likelihood_shared(
     return out.select(*hk, F.array(*[F.lit(priors[i]) + dots[i] for i in range(k)]).alias("scores"))
 
 
+def joint_log_likelihood_by_head(
+    model: NBModel,
+    vocab: DataFrame,
+    pairs: DataFrame,
+    heads: DataFrame,
+    head_key: str,
+    head: str,
+    texts: DataFrame,
+    text: str,
+    text_keys: Sequence[str],
+    vocab_bound: int | None = None,
+) -> DataFrame:
+    """Scores of documents ``head ++ text`` for ``pairs`` (text_keys + head_key) where few distinct heads (head_key, head)
+    meet many texts, for 1-gram features.
+
+    With w = tf * idf, for a head h and a text s:
+        |w|^2   = S2(s) + C(h) + sum_{t in h} 2 idf_t^2 tf_h,t tf_s,t
+        w . lp  = D(s) + E(h)
+    C, E and the factors of tf_s,t are a head's own: one row per head, broadcast if its measured bytes allow. S2, D and the
+    text's term numbers with their counts are one row per text, so that a pair needs no term rows: it looks up the
+    few terms of its head among the text's. Head and text must meet at a non-word character.
+    Output: text_keys + head_key + scores ARRAY<DOUBLE>, equal to joint_log_likelihood of the concatenated documents.
+    """
+    from aspectra.operators import features as FE
+
+    k, tk = len(model.classes), list(text_keys)
+    table = vocab.select("term", "idx", "idf").join(model.term_vectors(), "term", "left")
+    known, _ = sized_broadcast(table, BROADCAST_TERM_ROWS, vocab_bound)
+    lp = [F.coalesce(F.col("lp")[i], F.lit(0.0)) for i in range(k)]
+    per_text = (
+        FE.term_counts(texts, text, tk, 1, 1)
+        .join(known, "term")
+        .groupBy(*tk)
+        .agg(
+            F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("_s2"),
+            *[F.sum(F.col("tf") * F.col("idf") * lp[i]).alias(f"_d{i}") for i in range(k)],
+            F.collect_list(F.struct("idx", "tf")).alias("_terms"),
+        )
+    )
+    counted = heads.select(head_key, F.explode_outer(FE.vectorizer_tokens(F.col(head))).alias("term"))
+    counted = counted.groupBy(head_key, "term").agg(F.count(F.lit(1)).alias("tf_h")).join(known, "term", "left")
+    idf = F.coalesce(F.col("idf"), F.lit(0.0))  # terms outside the vocabulary add nothing
+    factor = F.struct("idx", (2 * F.pow(idf, 2) * F.col("tf_h")).alias("w"))
+    per_head = counted.groupBy(head_key).agg(
+        F.sum(F.pow(idf * F.col("tf_h"), 2)).alias("_c2"),
+        *[F.sum(F.col("tf_h") * idf * lp[i]).alias(f"_e{i}") for i in range(k)],
+        F.collect_list(F.when(F.col("idx").isNotNull(), factor)).alias("_factors"),
+    )
+    per_head = checkpoint(per_head)
+    size = per_head.agg(F.sum(row_bytes(per_head))).first()[0] or 0
+    # The pairs are shuffled to their texts before they get anything of their heads.
+    met = pairs.join(per_text, tk, "left").join(F.broadcast(per_head) if size <= BROADCAST_HEAD_BYTES else per_head, head_key)
+    ids, tfs = F.col("_terms")["idx"], F.col("_terms")["tf"]
+    count = lambda i: F.coalesce(F.get(tfs, (F.array_position(ids, i) - 1).cast("int")), F.lit(0))
+    shared = F.aggregate("_factors", F.lit(0.0), lambda s, f: s + f["w"] * count(f["idx"]))
+    norm = F.sqrt(F.coalesce(F.col("_s2"), F.lit(0.0)) + F.col("_c2") + F.col("_shared"))
+    priors = model.log_priors()
+    dots = [F.when(F.col("_norm") > 0, (F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + F.col(f"_e{i}")) / F.col("_norm")).otherwise(F.lit(0.0)) for i in range(k)]
+    out = met.withColumn("_shared", shared).withColumn("_norm", norm)
+    return out.select(*tk, head_key, F.array(*[F.lit(priors[i]) + dots[i] for i in range(k)]).alias("scores"))
+
+
 def predict(model: NBModel, scored: DataFrame, scores: str = "scores") -> F.Column:
     """Predicted class (lowest class on ties)."""
     idx = V.argmax(F.col(scores))

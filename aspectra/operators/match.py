@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aspectra.functions.sizes import row_bytes
 from aspectra.functions.text import MARK, WORD_CLASS, mark_tokens, word_runs
@@ -141,23 +144,58 @@ def match_substring(
     """All (row, keyword) pairs where the keyword occurs as a substring of the
     text, case-sensitive. Output: keys + carry + keyword.
 
-    Candidates come from an equi-join of the text's distinct grams of 0 to
-    ``PREFIX`` characters with the keyword's first characters (all of them, if it
-    has fewer; the empty keyword is in every text), followed by the exact test.
-    A lexicon beyond the broadcast bound gets only (keys, gram) of each row
-    through the shuffle; the text is joined to the candidates afterwards.
+    A lexicon within the bounds goes to the tasks as one automaton, which walks each text once, in Arrow batches:
+    the work is the text's length and its hits. Beyond them, candidates come from a shuffled equi-join of the text's distinct
+    grams of 0 to ``PREFIX`` characters with the keyword's first characters (all of them, if it
+    has fewer; the empty keyword is in every text), followed by the exact test; only (keys, gram) of each row
+    go through the shuffle, and the text is joined to the candidates afterwards.
     """
-    prefix = F.substring("keyword", 1, PREFIX)
-    lex, small = sized_broadcast(lexicon.select("keyword", prefix.alias("_gram")), max_broadcast_rows)
+    lexicon = lexicon.select("keyword")
+    size = lexicon.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(lexicon)).alias("b")).first()
+    if size["n"] <= max_broadcast_rows and (size["b"] or 0) <= BROADCAST_LEXICON_BYTES:
+        return _walk(df, text, keys, carry, [r["keyword"] for r in lexicon.collect()])
     grams = F.explode(_prefix_grams(F.col(text))).alias("_gram")
     rows = df.select(*keys, *carry, F.col(text).alias("_text"))
-    if small:
-        found = rows.select("*", F.explode(_prefix_grams(F.col("_text"))).alias("_gram")).join(lex, "_gram")
-    else:
-        found = salted_join(df.select(*keys, grams), lex, "_gram", keys).drop("_gram").join(rows, list(keys))
+    lex = lexicon.select("keyword", F.substring("keyword", 1, PREFIX).alias("_gram"))
+    found = salted_join(df.select(*keys, grams), lex, "_gram", keys).drop("_gram").join(rows, list(keys))
     return found.where(F.contains(F.col("_text"), F.col("keyword"))).select(*keys, *carry, "keyword")
 
 
+WALK_ROWS = 2048  # rows whose hits are in memory at a time
+
+
+def _walk(df: DataFrame, text: str, keys: Sequence[str], carry: Sequence[str], phrases: list[str]) -> DataFrame:
+    """Hits by an automaton of the phrases, built in every task."""
+    names = [*keys, *carry]
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField("keyword", T.StringType())])
+
+    def run(batches):
+        automaton, anywhere = ahocorasick.Automaton(), []
+        for k, phrase in enumerate(phrases):
+            if phrase:
+                automaton.add_word(phrase, k)
+            else:
+                anywhere.append(k)  # the empty phrase
+        automaton.make_automaton()
+        walk = automaton.iter if len(automaton) else lambda _: ()
+        words = pa.array(phrases, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, WALK_ROWS):
+                part = batch.slice(at, WALK_ROWS)
+                row, hit = [], []
+                for i, s in enumerate(part.column(len(names)).to_pylist()):
+                    if s is not None:
+                        found = {k for _, k in walk(s)}
+                        hit += found
+                        hit += anywhere
+                        row += [i] * (len(found) + len(anywhere))
+                rows = pa.array(row, pa.int64())
+                columns = [part.column(c).take(rows) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, words.take(pa.array(hit, pa.int64()))], [*names, "keyword"])
+
+    return df.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
 def _prefix_grams(text: Column) -> Column:
     """Distinct substrings of 0 to ``PREFIX`` characters, in time linear in the text."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

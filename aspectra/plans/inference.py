@@ -101,12 +101,11 @@ def infer_all_hits(
     k = list(keys)
     pk = [*k, "aspect"]
     if isinstance(model_a, TextBayes) and _shared_text_prompt(model_a, prompt):
-        # The prompt is head(aspect) ++ line: score the line once and each hit's head on top.
-        hits = M.match_substring(lines, text, k, lexicon_set)
-        head = C.aspect_prompt(F.col("keyword"), F.lit(""), prompt)
-        heads = hits.select(*k, F.col("keyword").alias("aspect"), head.alias("_head"))
-        scored = B.joint_log_likelihood_shared(
-            model_a.model, model_a.vocab, heads, "_head", pk, lines.select(*k, text), text, k, FE.MAX_FEATURES
+        # The prompt is head(aspect) ++ line: a head for each phrase, the line scored once, and each hit puts them together.
+        hits = M.match_substring(lines, text, k, lexicon_set).withColumnRenamed("keyword", "aspect")
+        heads = lexicon_set.select(F.col("keyword").alias("aspect"), C.aspect_prompt(F.col("keyword"), F.lit(""), prompt).alias("_head"))
+        scored = B.joint_log_likelihood_by_head(
+            model_a.model, model_a.vocab, hits, heads, "aspect", "_head", lines.select(*k, text), text, k, FE.MAX_FEATURES
         )
     else:
         hits = M.match_substring(lines, text, k, lexicon_set, carry=[text])

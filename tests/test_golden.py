@@ -59,6 +59,16 @@ def test_substring_hits_are_the_same_on_both_paths(spark):
     assert "NestedLoop" not in plan
 
 
+def test_substring_hits_with_null_texts_other_columns_and_no_lexicon(spark):
+    df = spark.createDataFrame([(1, "a\0b", [1], "x"), (2, None, None, "y"), (None, "ab" * 5000, [], None)], "row long, s string, keyword_ids array<int>, _x string")
+    lex = M.lexicon_set(lexicon(spark, ["\0b", "ab", "a", "", "a" * 300]))
+    for bound in (1000, 1):
+        got = M.match_substring(df.where("row is not null"), "s", ["row"], lex, bound, carry=["keyword_ids", "_x"]).collect()
+        assert sorted((r["row"], r["keyword"], r["keyword_ids"], r["_x"]) for r in got) == [(1, "", [1], "x"), (1, "\0b", [1], "x"), (1, "a", [1], "x")]
+    assert sorted(r["keyword"] for r in M.match_substring(df.where("row is null"), "s", ["row"], lex).collect()) == ["", "a", "ab"]
+    assert M.match_substring(df, "s", ["row"], lex.limit(0)).collect() == []
+
+
 def test_word_hits_of_keywords_with_punctuation_are_those_of_a_boundary_search(spark):
     import re
 

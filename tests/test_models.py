@@ -120,6 +120,26 @@ def test_shared_text_scoring_equals_direct(spark, corpus):
         assert a[k] == pytest.approx(b[k], rel=1e-9)
 
 
+@pytest.mark.parametrize("bytes_", [0, B.BROADCAST_HEAD_BYTES])
+def test_scoring_by_head_equals_direct(spark, corpus, monkeypatch, bytes_):
+    monkeypatch.setattr(B, "BROADCAST_HEAD_BYTES", bytes_)
+    tf = FE.term_counts(corpus, "text", ["id"], 1, 1, carry=["label"])
+    vocab = FE.fit_vocabulary(tf, corpus.select(F.count(F.lit(1))).scalar(), 5000)
+    model = B.fit(corpus, FE.tfidf(tf, vocab, ["id"], carry=["label"]), vocab, label="label", alpha=0.1)
+    heads = spark.createDataFrame([("h1", "about good, "), ("h2", "good good phone, "), ("h3", "? "), ("h4", "never seen, ")], "hk string, head string")
+    empty = spark.createDataFrame([(99, "", 0)], corpus.schema)
+    texts = corpus.unionByName(empty)
+    pairs = texts.select("id").crossJoin(heads.select("hk"))
+    got = B.joint_log_likelihood_by_head(model, vocab, pairs, heads, "hk", "head", texts, "text", ["id"])
+    full = pairs.join(heads, "hk").join(texts, "id").select("id", "hk", F.concat("head", "text").alias("doc"))
+    ftf = FE.term_counts(full, "doc", ["id", "hk"], 1, 1)
+    direct = B.joint_log_likelihood(model, full, FE.tfidf(ftf, vocab, ["id", "hk"]), ["id", "hk"])
+    a, b = ({(r["id"], r["hk"]): r["scores"] for r in x.collect()} for x in (got, direct))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-9)
+
+
 def test_bootstrap_is_exact_and_deterministic(spark):
     data = [(i, "x", 0 if i < 3 else (1 if i < 10 else 2)) for i in range(40)]
     df = spark.createDataFrame(data, "id bigint, t string, label int")

@@ -28,3 +28,8 @@ def open_stream(uri: str):
 def open_random(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
+
+
+def remove_file(uri: str) -> None:
+    store, path = fs.FileSystem.from_uri(uri)
+    store.delete_file(path)

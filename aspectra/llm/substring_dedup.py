@@ -12,12 +12,13 @@ cut, without loss, into short overlapping strings on which the column-wise const
    frame of columns so that the anchor starts at the same column in all. Equal windows
    thus stand at the same columns of segments in the same bucket (by anchor hash). Equal
    segments of a block go on once, with the smallest document id, so what a bucket gets of a passage
-   follows the number of blocks that hold it, not of documents.
+   follows the number of blocks that hold it, not of documents. Equal ones a fixed step apart, as rulers, padding and
+   other text of a short period give them, are one place with a count.
 3. *Column-wise construction.* In a bucket, from the last column to the first, one symbol of each
    segment is inserted in front of its suffix: the symbols in suffix order are the round's column
    of the Burrows-Wheeler transform, a stable sort by it is the next suffix order, and the common
    prefix of neighbours is one more than the least one between their old places. Columns are
-   read from an external file, one after another. Suffixes whose common prefix is at least ``length``
+   read from a file in the shared folder, one after another. Suffixes whose common prefix is at least ``length``
    are equal windows; the smallest id among them decides.
 4. Verdicts, a bit per window, go back to the blocks, become spans, and the spans meet their
    documents, where they are united and cut out.
@@ -32,7 +33,6 @@ left over, so the kept bytes are binary; an empty table stays empty; other colum
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -41,6 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.common import discard, shuffle_partitions, shuffles_freed, slices, stash
+from aspectra.llm.shared_files import new_file, open_stream, remove_file
+from aspectra.operators.match import salted_join
+from aspectra.session import scratch_path
 
 LENGTH = 50
 ANCHOR = 24
@@ -221,7 +224,9 @@ def _repeated(groups: int):
     return run
 
 
-RECORD = np.dtype([("id", "<i8"), ("crc", "<u4"), ("pos", "<i8")])
+# A segment's place, and n - 1 more of them, each a step after the other.
+RECORD = np.dtype([("id", "<i8"), ("crc", "<u4"), ("pos", "<i8"), ("n", "<i8"), ("step", "<i4")])
+HITS = 1 << 16
 SEGMENTS = "bucket int, block string, grp int, segments binary, least binary, sizes binary, places binary"
 
 
@@ -242,12 +247,55 @@ def equal_rows(x: np.ndarray):
     return which, first
 
 
+def steps(which: np.ndarray, piece: np.ndarray, at: np.ndarray, most: int):
+    """Runs of neighbours with one class, one piece and one distance of at most ``most``: (first, number, distance)."""
+    same = (which[1:] == which[:-1]) & (piece[1:] == piece[:-1])
+    apart = np.where(same, at[1:] - at[:-1], most + 1)
+    near = apart <= most
+    new = np.ones(len(which), bool)
+    new[1:] = ~near
+    # Within such a run, a distance unlike the one before begins another.
+    new[2:] |= near[1:] & near[:-1] & (apart[1:] != apart[:-1])
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(which)))
+    step = np.where(n > 1, np.append(apart, 0)[start], 0)
+    return start, n, step
+
+
 def _segments(length: int, anchor: int, buckets: int):
     """Partitions hold whole groups: first their repeated hashes, then their copies, then documents."""
     lead = length - anchor  # the anchor's column
     columns = lead + length
     width = -(-(columns + 2) // 8) * 8
 
+    def frames(r, hit):
+        """The segments of some hits, each in the fixed frame of columns."""
+        first, last, pos = r.first[hit], r.last[hit], r.at[hit]
+        x = np.zeros((len(hit), width), np.uint8)
+        source = (pos - lead)[:, None] + np.arange(columns)[None, :]
+        inside = (source >= first[:, None]) & (source < (last + length)[:, None])
+        x[:, :columns] = np.where(inside, r.bytes[np.clip(source, 0, len(r.bytes) - 1)], 0)
+        x[:, columns], x[:, columns + 1] = first - pos + lead, last - pos + lead
+        return x
+
+    def distinct(r, hit):
+        """(class of each hit, a segment and the anchor hash of each class): some hits at a time are laid out, as a
+        text of a short period has one at every byte or two."""
+        which, kept, hashes, n = [], [], [], 0
+        for s in range(0, len(hit), HITS):
+            part = hit[s : s + HITS]
+            x = frames(r, part)
+            own, rep = equal_rows(x)
+            which.append(own + n)
+            kept.append(x[rep])
+            hashes.append(r.hash[part[rep]])
+            n += len(rep)
+        which, x, h = np.concatenate(which), np.concatenate(kept), np.concatenate(hashes)
+        if len(kept) > 1:
+            own, rep = equal_rows(x)
+            which, x, h = own[which], x[rep], h[rep]
+        return which, x, h
+
     def blocks(group, flagged, docs):
         for held in _pieces(docs, length):
             r = Runs([p for _, _, p in held], length, anchor)
@@ -257,29 +305,28 @@ def _segments(length: int, anchor: int, buckets: int):
             hit = np.flatnonzero(flagged[np.minimum(at, len(flagged) - 1)] == r.hash)
             if not len(hit):
                 continue
-            first, last, pos, piece = r.first[hit], r.last[hit], r.at[hit], r.piece[hit]
-            lo, hi = first - pos + lead, last - pos + lead
-            x = np.zeros((len(hit), width), np.uint8)
-            source = (pos - lead)[:, None] + np.arange(columns)[None, :]
-            inside = (source >= first[:, None]) & (source < (last + length)[:, None])
-            x[:, :columns] = np.where(inside, r.bytes[np.clip(source, 0, len(r.bytes) - 1)], 0)
-            x[:, columns], x[:, columns + 1] = lo, hi
-            place = np.zeros(len(hit), RECORD)
+            which, x, hashes = distinct(r, hit)
+            first, piece = r.first[hit], r.piece[hit]
+            # Equal segments one step after another, as a period gives them, are one place with a count.
+            start, n, step = steps(which, piece, first, length)
+            which, first, piece = which[start], first[start], piece[start]
+            place = np.zeros(len(start), RECORD)
             begin = np.concatenate([[0], r.ends])[piece]
             place["pos"] = np.array([o for _, o, _ in held], np.int64)[piece] + first - begin
             place["id"] = np.array([row[0] for row, _, _ in held], np.int64)[piece]
             place["crc"] = np.array([row[1] for row, _, _ in held], np.uint32)[piece]
-            which, rep = equal_rows(x)
+            place["n"], place["step"] = n, step
+            del r, hit
             order = np.argsort(which, kind="stable")
             place, size = place[order], np.bincount(which)
             starts = np.cumsum(size) - size
             least = np.minimum.reduceat(place["id"], starts)
-            bucket = _bucket(r.hash[hit][rep], buckets)
+            bucket = _bucket(hashes, buckets)
             block, rows = uuid.uuid4().hex, []
             for k in np.unique(bucket).tolist():
                 mine = np.flatnonzero(bucket == k)
                 spots = np.concatenate([place[starts[i] : starts[i] + size[i]] for i in mine.tolist()])
-                rows.append((k, block, group, x[rep[mine]].tobytes(), least[mine].tobytes(), size[mine].astype("<u4").tobytes(), spots.tobytes()))
+                rows.append((k, block, group, x[mine].tobytes(), least[mine].tobytes(), size[mine].astype("<u4").tobytes(), spots.tobytes()))
             kinds = [pa.int32(), pa.string(), pa.int32()] + [pa.binary()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in SEGMENTS.split(", ")])
 
@@ -327,15 +374,18 @@ def by_group(batches):
             pass
 
 
-def repeated_windows(x: np.ndarray, columns: int, least: np.ndarray, length: int) -> np.ndarray:
-    """Bit c of a segment: its window at column c also starts in a document with an id below ``least``."""
-    n = len(x)
-    lo, hi = x[:, columns].astype(np.int64), x[:, columns + 1].astype(np.int64)
-    out = np.zeros(n, np.uint64)
-    with tempfile.TemporaryFile() as f:
+def repeated_windows(segments: list[np.ndarray], columns: int, least: np.ndarray, length: int, root: str) -> np.ndarray:
+    """Bit c of a segment: its window at column c also starts in a document with an id below ``least``. The columns lie in a
+    file below ``root``, which is read once from its start to its end; the segments themselves are let go."""
+    lo, hi = (np.concatenate([x[:, k] for x in segments]).astype(np.int64) for k in (columns, columns + 1))
+    n, out = len(lo), np.zeros(len(lo), np.uint64)
+    uri, f = new_file(root, "columns", ".bin")
+    with f:
         for c in range(columns - 1, -1, -1):
-            f.write(np.ascontiguousarray(x[:, c]).tobytes())
-        f.seek(0)
+            for x in segments:
+                f.write(x[:, c].tobytes())
+    segments.clear()
+    with open_stream(uri) as f:
         order, lcp = np.arange(n), np.zeros(n, np.uint8)
         for c in range(columns - 1, -1, -1):
             transform = np.frombuffer(f.read(n), np.uint8)[order]
@@ -355,19 +405,21 @@ def repeated_windows(x: np.ndarray, columns: int, least: np.ndarray, length: int
                 starts = np.flatnonzero(lcp < length)
                 smallest = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, n)))
                 out[order[here & (smallest < ids)]] |= np.uint64(1 << c)
+    remove_file(uri)
     return out
 
 
-def _verdicts(width: int, columns: int, length: int):
+def _verdicts(width: int, columns: int, length: int, root: str):
     def run(batches):
         now, held = None, []
 
         def meet():
-            x = np.concatenate([np.frombuffer(s, np.uint8).reshape(-1, width) for _, s, _ in held])
             least = np.concatenate([np.frombuffer(i, "<i8") for _, _, i in held])
-            bits, at, rows = repeated_windows(x, columns, least, length), 0, []
-            for block, s, _ in held:
-                n = len(s) // width
+            sizes = [(block, len(s) // width) for block, s, _ in held]
+            segments = [np.frombuffer(s, np.uint8).reshape(-1, width) for _, s, _ in held]
+            held.clear()
+            bits, at, rows = repeated_windows(segments, columns, least, length, root), 0, []
+            for block, n in sizes:
                 rows.append((now, block, bits[at : at + n].tobytes()))
                 at += n
             kinds = [pa.int32(), pa.string(), pa.binary()]
@@ -389,39 +441,58 @@ def _verdicts(width: int, columns: int, length: int):
 SPAN = np.dtype([("id", "<i8"), ("crc", "<u4"), ("start", "<i8"), ("end", "<i8")])
 
 
+def united(spans: np.ndarray) -> np.ndarray:
+    """Spans of each (id, crc) that overlap or touch, as one."""
+    spans = spans[np.lexsort((spans["start"], spans["crc"], spans["id"]))]
+    other = np.concatenate([[True], (spans["id"][1:] != spans["id"][:-1]) | (spans["crc"][1:] != spans["crc"][:-1])])
+    far = np.cumsum(other) * (int(spans["end"].max()) + 1)  # puts each text behind the one before
+    reach = np.maximum.accumulate(spans["end"] + far)
+    new = other.copy()
+    new[1:] |= spans["start"][1:] + far[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    out = spans[first].copy()
+    out["end"] = np.maximum.reduceat(spans["end"], first)
+    return out
+
+
 def _spans(width: int, columns: int, length: int):
     """Per occurrence of a segment, the bytes covered by its repeated windows."""
 
+    def of_places(place, which, lo, mine):
+        start, out = place["pos"] - lo[which], []
+        # The spans of one step after another overlap, as no step is longer than a window.
+        more = (place["n"] - 1) * place["step"]
+        rows = np.flatnonzero(mine)
+        left = mine[rows]
+        while len(rows):  # runs of set bits, lowest first
+            low = left & (~left + np.uint64(1))
+            a = np.log2(low.astype(np.float64)).astype(np.int64)
+            rest = left + low  # carries through the run
+            z = np.where(rest == 0, 64, np.log2((rest & (~rest + np.uint64(1))).astype(np.float64) + (rest == 0)).astype(np.int64))
+            s = np.zeros(len(rows), SPAN)
+            s["id"], s["crc"] = place["id"][rows], place["crc"][rows]
+            s["start"], s["end"] = start[rows] + a, start[rows] + z - 1 + length + more[rows]
+            out.append(s)
+            left = left & rest
+            keep = left != 0
+            left, rows = left[keep], rows[keep]
+        return out
+
     def run(batches):
         for b in batches:
             for group, segments, least, sizes, places, bits in zip(*(c.to_pylist() for c in b.columns)):
                 x = np.frombuffer(segments, np.uint8).reshape(-1, width)
                 lo, hi = x[:, columns].astype(np.int64), x[:, columns + 1].astype(np.int64)
-                size = np.frombuffer(sizes, "<u4")
-                place = np.frombuffer(places, RECORD)
                 all_bits = ((np.uint64(2) << (hi - lo).astype(np.uint64)) - np.uint64(1)) << lo.astype(np.uint64)
-                mine = np.repeat(np.frombuffer(bits, np.uint64), size)
-                # Where a window's smallest document is the block's, later documents of the block repeat it.
-                mine = np.where(place["id"] > np.repeat(np.frombuffer(least, "<i8"), size), np.repeat(all_bits, size), mine)
-                start = place["pos"] - np.repeat(lo, size)
-                out = []
-                some = np.flatnonzero(mine)
-                left, rows = mine[some], some
-                while len(rows):  # runs of set bits, lowest first
-                    low = left & (~left + np.uint64(1))
-                    a = np.log2(low.astype(np.float64)).astype(np.int64)
-                    rest = left + low  # carries through the run
-                    run_end = np.where(rest == 0, 64, np.log2((rest & (~rest + np.uint64(1))).astype(np.float64) + (rest == 0)).astype(np.int64))
-                    z = run_end
-                    s = np.zeros(len(rows), SPAN)
-                    s["id"], s["crc"] = place["id"][rows], place["crc"][rows]
-                    s["start"], s["end"] = start[rows] + a, start[rows] + z - 1 + length
-                    out.append(s)
-                    left = left & rest
-                    keep = left != 0
-                    left, rows = left[keep], rows[keep]
+                place, ends = np.frombuffer(places, RECORD), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
+                least, bits, out = np.frombuffer(least, "<i8"), np.frombuffer(bits, np.uint64), []
+                for s in range(0, len(place), HITS):
+                    some = place[s : s + HITS]
+                    which = np.searchsorted(ends, np.arange(s, s + len(some)), side="right")
+                    # Where a window's smallest document is the block's, later documents of the block repeat it.
+                    out += of_places(some, which, lo, np.where(some["id"] > least[which], all_bits[which], bits[which]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([np.concatenate(out).tobytes()], pa.binary())], ["grp", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([united(np.concatenate(out)).tobytes()], pa.binary())], ["grp", "blob"])
 
     return run
 
@@ -476,7 +547,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         parts = 4 * max(shuffle_partitions(spark), total // PART_BYTES + 1)
         group = F.pmod(F.xxhash64("id", "crc"), F.lit(parts)).cast("int").alias("grp")
         first = facts.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "first")
-        copies, copies_path = stash(facts.join(first, "digest").where("id > first").select(group, "id", "crc").distinct(), "repeat-copies")
+        copies, copies_path = stash(salted_join(facts, first, "digest", ["id", "crc"]).where("id > first").select(group, "id", "crc").distinct(), "repeat-copies")
 
         found = rows.select(group, "text").mapInArrow(_anchors(length, anchor, parts, parts), "bucket int, hashes binary, sizes binary, many binary")
         found = found.repartition(parts // 4, "bucket").sortWithinPartitions("bucket")
@@ -486,11 +557,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         segments, segments_path = stash(_grouped(repeated, copies, rows, group, parts).mapInArrow(cut, SEGMENTS), "repeat-segments")
         discard(spark, repeated_path, facts_path)
 
+        files = scratch_path(spark, "repeat-columns")
         dealt = segments.select("bucket", "block", "segments", "least").repartition(parts // 4, "bucket").sortWithinPartitions("bucket")
-        bits, bits_path = stash(dealt.mapInArrow(_verdicts(width, columns, length), "bucket int, block string, bits binary"), "repeat-bits")
+        bits, bits_path = stash(dealt.mapInArrow(_verdicts(width, columns, length, files), "bucket int, block string, bits binary"), "repeat-bits")
         told = segments.join(bits, ["bucket", "block"]).select("grp", "segments", "least", "sizes", "places", "bits")
         spans, _ = stash(told.mapInArrow(_spans(width, columns, length), "grp int, blob binary"), "repeat-spans")
-        discard(spark, segments_path, bits_path)
+        discard(spark, segments_path, bits_path, files)
     return _grouped(spans, copies, rows, group, parts).mapInArrow(_kept(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -142,9 +142,13 @@ def encode_pairs(
     vocab: DataFrame,
     max_length: int = MAX_LENGTH,
     vocab_bound: int | None = None,
+    cut: str = "longest",
 ) -> DataFrame:
-    """keys + (input_ids, attention_mask): ``<s> A </s></s> B </s>`` with the pair
-    cut longest-first (ties cut B) to fit ``max_length``, padded with <pad>."""
+    """keys + (input_ids, attention_mask): ``<s> A </s></s> B </s>`` cut to fit ``max_length``, padded with <pad>.
+    ``cut``: ``longest`` takes from the longer text first (ties cut B), ``first`` from A only, and from B just what
+    would not fit without any of A."""
+    if cut not in ("longest", "first"):
+        raise ValueError(f"cut: longest or first, not {cut}")
     a = _ids(df, first, keys, vocab, vocab_bound)
     b = _ids(df, second, keys, vocab, vocab_bound)
     base = df.select(*keys).join(a, list(keys), "left").join(b, list(keys), "left")
@@ -170,6 +174,8 @@ def encode_pairs(
         .when(lb - la >= over, lb - over)
         .otherwise(common - F.ceil(rest / 2).cast("int"))
     )
+    if cut == "first":
+        keep_a, keep_b = F.greatest(la - over, F.lit(0)), F.least(lb, budget)
     ids = F.concat(
         F.array(F.lit(BOS_ID)),
         F.slice(ia, 1, keep_a),
@@ -177,7 +183,21 @@ def encode_pairs(
         F.slice(ib, 1, keep_b),
         F.array(F.lit(EOS_ID)),
     )
+    return base.select(*keys, *_padded(ids, max_length))
+
+
+def _padded(ids: Column, length: int) -> tuple[Column, Column]:
     n = F.size(ids)
-    padded = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - n))
-    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
-    return base.select(*keys, padded.alias("input_ids"), mask.alias("attention_mask"))
+    padded = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(length) - n))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    return padded.alias("input_ids"), mask.alias("attention_mask")
+
+
+def encode_texts(
+    df: DataFrame, text: str, keys: Sequence[str], vocab: DataFrame, max_length: int = MAX_LENGTH, vocab_bound: int | None = None
+) -> DataFrame:
+    """keys + (input_ids, attention_mask): ``<s> A </s>`` of single texts, cut at the end and padded with <pad>."""
+    found = df.select(*keys).join(_ids(df, text, keys, vocab, vocab_bound), list(keys), "left")
+    own = F.coalesce(F.col(f"{text}_ids"), F.array().cast("array<int>"))
+    ids = F.concat(F.array(F.lit(BOS_ID)), F.slice(own, 1, max_length - 2), F.array(F.lit(EOS_ID)))
+    return found.select(*keys, *_padded(ids, max_length))

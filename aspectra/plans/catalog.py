@@ -55,6 +55,7 @@ def _load_all() -> None:
     from aspectra.plans import queries_eval  # noqa: F401
     from aspectra.plans import queries_infer  # noqa: F401
     from aspectra.plans import queries_fit  # noqa: F401
+    from aspectra.plans import queries_files  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:

@@ -235,5 +235,6 @@ def all_oracles() -> dict[str, str]:
     from aspectra.plans import oracle_eval  # noqa: F401
     from aspectra.plans import oracle_infer  # noqa: F401
     from aspectra.plans import oracle_fit  # noqa: F401
+    from aspectra.plans import oracle_files  # noqa: F401
 
     return dict(ORACLE)

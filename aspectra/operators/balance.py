@@ -20,12 +20,12 @@ from aspectra.functions.sizes import row_bytes
 from aspectra.functions.text import split_ws
 from aspectra.functions.vectors import element
 from aspectra.operators.match import sized_broadcast
+from aspectra.operators.synonyms import broadcast_by_bytes
 
 SEED = 42
 # Buckets of a dense index: enough tasks for any table, few enough for a table of bucket sizes.
 N_BUCKETS = 1 << 16
 BROADCAST_OFFSET_ROWS = 1_000_000
-BROADCAST_SYNONYM_ROWS = 2_000_000
 # Draws per task when generating bootstrap slots.
 SLOTS_PER_TASK = 1_000_000
 # The smallest classes, up to this many bytes together, are joined to their draws by broadcast (no hot keys).
@@ -126,7 +126,7 @@ def synonym_replace(
     """keys + ``out``: each whitespace word that has synonym sets becomes the
     first lemma of one set chosen by hash(seed, keys, position); other words stay.
     Words are joined with one space."""
-    sets, _ = sized_broadcast(synonym_sets(synonyms), BROADCAST_SYNONYM_ROWS)
+    sets = broadcast_by_bytes(synonym_sets(synonyms))
     words = df.select(*keys, F.posexplode(split_ws(F.col(text))).alias("pos", "word"))
     # One marker row per input row so that rows without words still come out ('').
     marker = df.select(*keys, F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("word"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aspectra.functions.text import WS_CLASS
+from aspectra.operators import synonyms as SY
 from aspectra.plans import tables as D
 from aspectra.plans.oracle import (
     LEXICON,
@@ -187,6 +188,49 @@ ORACLE["bootstrap_balance"] = with_(*BASE, BOOT) + """SELECT CAST(sentiment AS B
   doc_id, CAST(line_no AS BIGINT) AS line_no FROM boot"""
 ORACLE["synonym_augment"] = with_(*BASE, SYN, replace_sql("aug", "train", ("doc_id", "line_no"))) + """SELECT doc_id,
   CAST(line_no AS BIGINT) AS line_no, augmented FROM aug"""
+# Lines split into words once; the numbers are the defaults of operators/synonyms.py.
+LEARNED = f"""cx_t AS (SELECT regexp_extract_all(lower(sentence), '[{WORD}]+') AS t FROM lines),
+cx_ab AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS p FROM cx_t WHERE len(t) > 1),
+cx AS (
+  SELECT word, feature, count(*) AS n FROM (
+    SELECT p.b AS word, 'l:' || p.a AS feature FROM cx_ab UNION ALL SELECT p.a, 'r:' || p.b FROM cx_ab) GROUP BY 1, 2
+),
+cx_w AS (SELECT word, sum(n) AS nw FROM cx GROUP BY 1 HAVING sum(n) >= {SY.MIN_COUNT}),
+cx_f AS (SELECT feature, sum(n) AS nf FROM cx GROUP BY 1),
+wt AS (
+  SELECT * FROM (
+    SELECT word, feature, CAST(floor(1000.0::DOUBLE * ln(n::DOUBLE * (SELECT sum(n) FROM cx)::DOUBLE / (nw::DOUBLE * nf::DOUBLE))
+      * (n::DOUBLE / (n::DOUBLE + 1.0::DOUBLE))) AS BIGINT) AS weight
+    FROM cx JOIN cx_w USING (word) JOIN cx_f USING (feature) WHERE n >= {SY.MIN_PAIR}) WHERE weight > 0
+),
+wt_own AS (SELECT word, CAST(sum(weight) AS BIGINT) AS own FROM wt GROUP BY 1),
+wt_kept AS (SELECT * FROM wt QUALIFY row_number() OVER (PARTITION BY feature ORDER BY weight DESC, word) <= {SY.PER_FEATURE}),
+sim AS (
+  SELECT a, b, s::DOUBLE / (x.own + y.own - s)::DOUBLE AS similarity FROM (
+    SELECT l.word AS a, r.word AS b, CAST(sum(least(l.weight, r.weight)) AS BIGINT) AS s
+    FROM wt_kept l JOIN wt_kept r ON l.feature = r.feature AND l.word < r.word GROUP BY 1, 2 HAVING count(*) >= {SY.SHARED}) p
+  JOIN wt_own x ON x.word = p.a JOIN wt_own y ON y.word = p.b
+),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, lemma) AS rank FROM (
+    SELECT a AS word, b AS lemma, similarity FROM sim UNION ALL SELECT b, a, similarity FROM sim)
+  WHERE similarity >= {SY.LEAST} QUALIFY rank <= {SY.NEIGHBOURS}
+),
+near_l AS (SELECT word, list(lemma ORDER BY rank) AS lemmas FROM near GROUP BY 1),
+seeded AS (
+  SELECT n.word, n.rank, list_concat([n.lemma], list_filter(w.lemmas, lambda x: x <> n.lemma AND coalesce(list_contains(v.lemmas, x), false))) AS members
+  FROM near n JOIN near_l w ON w.word = n.word LEFT JOIN near_l v ON v.word = n.lemma
+),
+sense AS (
+  SELECT word, members, row_number() OVER (PARTITION BY word ORDER BY rank) - 1 AS set_no FROM (
+    SELECT * FROM seeded QUALIFY row_number() OVER (PARTITION BY word, list_sort(members) ORDER BY rank) = 1)
+)"""
+ORACLE["synonym_learned_sets"] = with_(LINES, LEARNED) + """SELECT word, CAST(set_no AS BIGINT) AS set_no,
+  CAST(unnest(range(len(members))) AS BIGINT) AS lemma_no, unnest(members) AS lemma FROM sense"""
+LEARNED_FIRST = LEARNED + """,
+sets AS (SELECT word, list(members[1] ORDER BY set_no) AS lemmas FROM sense GROUP BY word)"""
+ORACLE["synonym_augment_learned"] = with_(*BASE, LEARNED_FIRST, replace_sql("aug", "train", ("doc_id", "line_no"))) + """SELECT doc_id,
+  CAST(line_no AS BIGINT) AS line_no, augmented FROM aug"""
 NEUTRAL = f"""neutral AS (SELECT slot, doc_id, line_no, sentence FROM boot WHERE sentiment = 1),
 {replace_sql("naug", "neutral", ("slot", "doc_id", "line_no"))},
 aug_neutral AS (

@@ -16,6 +16,7 @@ from aspectra.functions import vectors as V
 from aspectra.operators import balance as BL
 from aspectra.operators import metrics as ME
 from aspectra.operators import scoring as SC
+from aspectra.operators import synonyms as SY
 from aspectra.plans import tables as D
 from aspectra.plans import training as TR
 from aspectra.plans.catalog import query
@@ -240,6 +241,20 @@ def synonym_augment(spark: SparkSession, sf: str) -> DataFrame:
     return BL.synonym_replace(_train(spark, sf), "sentence", TR.KEYS, D.synonyms(spark, sf))
 
 
+@query("synonym_learned_sets")
+def synonym_learned_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The synonym sets that A2 takes, learned from all lines: words of the same contexts, several lemmas a set."""
+    return SY.learn_synonyms(D.lines(spark, sf), "sentence")
+
+
+@query("synonym_augment_learned")
+def synonym_augment_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 on every training sentence with the learned sets."""
+    # Learned once: the sets are measured before the join.
+    first = TR.materialize(SY.first_lemmas(SY.learn_synonyms(D.lines(spark, sf), "sentence")))
+    return BL.synonym_replace(_train(spark, sf), "sentence", TR.KEYS, first)
+
+
 def _neutral(boot: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     neutral = boot.where(F.col("sentiment") == 1)
     aug = BL.synonym_replace(neutral, "sentence", ["slot", "doc_id", "line_no"], D.synonyms(spark, sf), out="sentence")

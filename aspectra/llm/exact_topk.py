@@ -12,12 +12,18 @@ k-th best exact score so far; the survivors' scores are computed exactly, in int
 query's threshold starts from its exact scores on a bounded sample of rows, so pruning works
 from the first block.
 
+The statistics are those of the vectors turned by an orthonormal matrix, which leaves inner products as they are: its axes are
+the directions in which a bounded sample of rows spreads most, widest first, and segments grow from one axis on. The
+fewer directions a collection spreads in, the more the coarse segments decide. Vectors that spread evenly in all directions can't be
+pruned by any segment statistics; ``pruning`` reports what share was.
+
 Queries are a table and are taken in blocks: a block is broadcast (at most ``block`` vectors, whatever
 the data), all rows are read against it where they lie, each task keeps k rows a query, and
-only these are shuffled.
+only these are shuffled. A task holds a product of ``QUERIES`` x ``ROWS`` numbers at a time.
 
 Defined cases: components become floor(scale * x); vectors that are null, empty, or hold null or non-finite
-components, and rows without an id, take no part; a row is no candidate of a query with
+components, and rows without an id, take no part; nor do vectors whose squared length in these integers is 2^62 or
+more, as scores with them needn't fit a long (all others do); a row is no candidate of a query with
 its own id; vectors of another dimension than the query's are no candidates; a query with fewer than k
 candidates returns them all; ties go to the smaller id; repeated candidate rows stand as often as they occur.
 """
@@ -37,22 +43,69 @@ BLOCK = 16_384
 SAMPLE = 2_048
 ROWS = 2_048
 QUERIES = 512
-NONE = -(1 << 62)  # below every score, and so is its negative above
+CELLS = 1 << 22  # components gathered at a time
+NONE = -((1 << 63) - 1)  # below every score, and so is its negative above
+EXACT = float(1 << 53)  # integers below it are exact as doubles
+
+
+def to_integers(ids: np.ndarray, x: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        f = np.floor(scale * x.astype(np.float64))
+        fits = (f * f).sum(1) < 2.0**62
+    return ids[fits], f[fits].astype(np.int64)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return np.sqrt((x * x).sum(1))
+
+
+def exact_as_doubles(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether no partial sum of a product of the rows can reach 2^53: sums of the components' absolute products are at most
+    the product of the lengths."""
+    return bool(len(q) and len(x)) and lengths(q).max() * lengths(x).max() < EXACT / 2
 
 
-def to_integers(x: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * x.astype(np.float64)).astype(np.int64)
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products of the rows, in integers."""
+    if exact_as_doubles(q, x):
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    return q @ x.T
+
+
+def products_of(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of the rows ``a`` of ``q`` with the rows ``b`` of ``x``, in integers."""
+    if 8 * len(a) > len(q) * len(x):
+        return products(q, x)[a, b]
+    out, step = np.empty(len(a), np.int64), max(1, CELLS // q.shape[1])
+    for s in range(0, len(a), step):
+        part = slice(s, s + step)
+        out[part] = np.einsum("ij,ij->i", q[a[part]], x[b[part]])
+    return out
+
+
+def axes(sample: np.ndarray) -> np.ndarray:
+    """An orthonormal matrix whose columns are the directions in which the rows spread, widest first."""
+    x = sample.astype(np.float64)
+    top = np.abs(x).max(initial=0)
+    x = x / top if top > 0 else x
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1]
+
+
+def ends(d: int, n: int) -> np.ndarray:
+    """Where the segments of a resolution end: the first has one axis, the others grow; resolutions of 1, 4 and 16 are nested."""
+    return np.unique(np.round(np.geomspace(1, d, n)).astype(int)) if n > 1 else np.array([d])
 
 
 def statistics(x: np.ndarray, n: int) -> np.ndarray:
     """Per row the segments' means and deviations, each times the root of its length: the
     bound is then a plain inner product."""
-    parts = np.array_split(np.arange(x.shape[1]), min(n, x.shape[1]))
-    out = []
-    for p in parts:
-        seg = x[:, p].astype(np.float64)
-        root = len(p) ** 0.5
+    out, start = [], 0
+    for end in ends(x.shape[1], n):
+        seg = x[:, start:end].astype(np.float64)
+        root = (end - start) ** 0.5
         out += [seg.mean(1) * root, seg.std(1) * root]
+        start = end
     return np.stack(out, 1)
 
 
@@ -85,18 +138,27 @@ class Best:
         self.score[some], self.id[some] = s[at], i[at]
 
 
-def search_block(queries: tuple[np.ndarray, np.ndarray], stats: list[np.ndarray], best: Best, ids: np.ndarray, x: np.ndarray) -> int:
+class Asked:
+    """Queries of one dimension: their integers, the axes and, per resolution, their statistics."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, turn: np.ndarray, floor: np.ndarray):
+        self.ids, self.q, self.turn, self.floor = ids, q, turn, floor
+        turned = q @ turn
+        self.stats = [statistics(turned, n) for n in SEGMENTS]
+
+
+def search_block(asked: Asked, best: Best, ids: np.ndarray, x: np.ndarray) -> int:
     """Offer every row of ``x`` that may be among a query's best; returns how many pairs were scored."""
-    q_ids, q = queries
-    x_stats, scored = [statistics(x, n) for n in SEGMENTS], 0
-    for s in range(0, len(q_ids), QUERIES):
+    turned = x @ asked.turn
+    x_stats, scored = [statistics(turned, n) for n in SEGMENTS], 0
+    for s in range(0, len(asked.ids), QUERIES):
         part = slice(s, s + QUERIES)
         least = best.threshold()[part]
-        able = bounds(stats[0][part], x_stats[0]) >= least[:, None]
-        able &= q_ids[part][:, None] != ids[None, :]
+        able = bounds(asked.stats[0][part], x_stats[0]) >= least[:, None]
+        able &= asked.ids[part][:, None] != ids[None, :]
         a, b = np.nonzero(able)
         for level in range(1, len(SEGMENTS)):
-            qs, xs = stats[level][part], x_stats[level]
+            qs, xs = asked.stats[level][part], x_stats[level]
             if 8 * len(a) > able.size:  # many left: bound them all at once
                 up = bounds(qs, xs)[a, b]
             else:
@@ -105,7 +167,7 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], stats: list[np.ndarray]
             keep = up >= least[a]
             a, b = a[keep], b[keep]
         if len(a):
-            score = np.einsum("ij,ij->i", q[part][a], x[b])
+            score = products_of(asked.q[part], x, a, b)
             scored += len(a)
             good = score >= least[a]
             if good.any():
@@ -113,65 +175,90 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], stats: list[np.ndarray]
     return scored
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, id, score): for each row of ``queries`` its k best rows of ``vectors``."""
+def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int, id_col: str, vector_col: str, block: int) -> list[DataFrame]:
+    """For each block of queries (query_id, id, score): k rows a query and task; and a row a task without a query, with the numbers of
+    pairs it had (``id``) and scored exactly (``score``)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    # Any rows do for the starting thresholds: they only decide how early pruning sets in.
-    sample = [(i, to_integers(x, scale)) for i, x in _local(rows.limit(SAMPLE))]
+    # Any rows do for the starting thresholds and the axes: they only decide how early pruning sets in.
+    sample = _local(rows.limit(SAMPLE), scale)
+    turns = {x.shape[1]: axes(x) for _, x in sample}
     count = asked.count()
     n_blocks = -(-count // block) or 1
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     dealt = stash(dealt, "topk-queries")[0] if n_blocks > 1 else dealt
-    found = None
+    found = []
     for turn in range(n_blocks):
-        groups = [(i, to_integers(x, scale)) for i, x in _local(dealt.where(F.col("block") == turn).select("id", "v"))]
-        start = [_floor(g, sample, k) for g in groups]
-        shared = spark.sparkContext.broadcast((groups, start))
+        groups = _local(dealt.where(F.col("block") == turn).select("id", "v"), scale)
+        groups = [Asked(i, q, turns.get(q.shape[1], np.eye(q.shape[1])), _floor(i, q, sample, k)) for i, q in groups]
+        shared = spark.sparkContext.broadcast(groups)
 
         def run(batches, shared=shared):
-            groups, start = shared.value
-            state = [(g, [statistics(g[1], n) for n in SEGMENTS], Best(len(g[0]), k, f)) for g, f in zip(groups, start)]
+            state = [(g, Best(len(g.ids), k, g.floor)) for g in shared.value]
+            pairs = scored = 0
             for b in slices(batches, ROWS):
                 for ids, x in matrices(b.column(0), b.column(1)):
-                    x = to_integers(x, scale)
-                    for g, stats, best in state:
-                        if g[1].shape[1] == x.shape[1]:
-                            search_block(g, stats, best, ids, x)
-            for g, _, best in state:
+                    ids, x = to_integers(ids, x, scale)
+                    for g, best in state:
+                        if g.q.shape[1] == x.shape[1] and len(x):
+                            pairs += len(g.ids) * len(x)
+                            scored += search_block(g, best, ids, x)
+            yield record(np.array([None]), [pairs], [scored])
+            for g, best in state:
                 full = best.score > NONE
-                who = np.repeat(g[0], k)[full.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best.id[full]), pa.array(best.score[full])], ["query_id", "id", "score"])
+                yield record(np.repeat(g.ids, k)[full.ravel()], best.id[full], best.score[full])
+
+        found.append(rows.mapInArrow(run, "query_id long, id long, score long"))
+    return found
+
 
-        part = rows.mapInArrow(run, "query_id long, id long, score long")
+def record(query, ids, score) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (query, ids, score)], ["query_id", "id", "score"])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, id, score): for each row of ``queries`` its k best rows of ``vectors``."""
+    out, found = None, search(vectors, queries, k, scale, id_col, vector_col, block)
+    for part in found:
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")  # at most k rows a task
-        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        part = part.where("query_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         part = part.select("query_id", "rank", "id", "score")
-        if n_blocks > 1:
+        if len(found) > 1:
             part = stash(part, "topk-block")[0]
-        found = part if found is None else found.unionByName(part)
-    return found
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pruning(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(pairs, scored, pruned): how many pairs of a query and a row there are, how many were scored exactly, and the share that the
+    bounds dropped (null without pairs; a query's own row counts as dropped)."""
+    out = None
+    for part in search(vectors, queries, k, scale, id_col, vector_col, block):
+        part = part.where("query_id is null")
+        out = part if out is None else out.unionByName(part)
+    sums = out.agg(F.coalesce(F.sum("id"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("score"), F.lit(0)).alias("scored"))
+    return sums.withColumn("pruned", F.expr("1 - try_divide(cast(scored as double), pairs)"))
 
 
-def _local(df: DataFrame):
-    """(ids, matrix) per dimension of a bounded table, on the driver."""
+def _local(df: DataFrame, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, integers) per dimension of a bounded table, on the driver."""
     t = df.toArrow()
     if not t.num_rows:
         return []
     column = lambda i: t.column(i).combine_chunks()
-    return list(matrices(column(0), column(1)))
+    found = (to_integers(i, x, scale) for i, x in matrices(column(0), column(1)))
+    return [(i, x) for i, x in found if len(i)]
 
 
-def _floor(group, sample, k: int) -> np.ndarray:
+def _floor(ids: np.ndarray, q: np.ndarray, sample, k: int) -> np.ndarray:
     """A query's k-th best score over the sample: no row below it is among its best."""
-    ids, q = group
     floor = np.full(len(ids), NONE)
     for s_ids, x in sample:
         if x.shape[1] != q.shape[1] or len(s_ids) <= k:
             continue
         for s in range(0, len(ids), QUERIES):
-            score = q[s : s + QUERIES] @ x.T
+            score = products(q[s : s + QUERIES], x)
             score[ids[s : s + QUERIES][:, None] == s_ids[None, :]] = NONE
             floor[s : s + QUERIES] = np.partition(score, len(s_ids) - k, axis=1)[:, len(s_ids) - k]
     return floor

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from aspectra.llm.common import discard, lean, shuffles_freed, slices, stash, type_of
+from aspectra.llm.common import discard, lean, shuffles_freed, slices, stash
 from aspectra.llm.components import components
 
 SLICES = 8
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {type_of(docs, id_col)}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), StructType().add("id", docs.schema[id_col].dataType).add("fp", LongType()))
 
 
 def ball_masks(radius: int, n_slices: int) -> list[tuple[np.ndarray, np.ndarray]]:

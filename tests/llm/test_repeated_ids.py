@@ -23,3 +23,9 @@ def test_one_row_of_each_component_stays(spark):
     assert out.columns == docs.columns
     want = [(1, a, "x"), (1, c, "x"), (2, b, "x"), (5, d, "x"), (None, d, "x"), (None, d, "x")]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_column_names_that_need_quotes_and_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 1), (1, "a b c d e", 2), (2, "v w x y z", 3)], "doc_id long, text string, `_row <id>` int")
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, SF001)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a b c d e", 1), (2, "v w x y z", 3)]

@@ -49,7 +49,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if repeated.isEmpty():
         return docs.join(ids.where("not _any"), docs["doc_id"] == F.col("_id"), "left_anti")
     single = docs.join(ids.where("not _any or _n > 1"), docs["doc_id"] == F.col("_id"), "left_anti")
-    some = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_fp", F.udf(signed_fingerprint, "long")("text"))
+    some = docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi").select(F.struct(*docs.columns).alias("_row"), "text")
+    some = simhash.fingerprints(some, "_row").select("id.*", F.col("fp").alias("_fp"))
     firsts = rows.where("first").select(F.col("id").alias("_id"), F.col("fp").alias("_first")).distinct()
     some = some.join(firsts, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_first")))
     # Of rows with the same id and fingerprint, the first by text, then by all columns.
@@ -58,11 +59,6 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return single.unionByName(some.groupBy("doc_id", "_fp").agg(least.alias("_row")).select("_row.*"))
 
 
-def signed_fingerprint(text: str | None) -> int:
-    fp = simhash.fingerprint(text)
-    return fp - (1 << 64) if fp >> 63 else fp
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the target shares of sources, languages and topics."""
     return mix_documents(docs).where("kept").select("doc.*")

@@ -3,13 +3,17 @@
 1. Every task hashes its documents' lines (128 bits) and pre-aggregates (documents, largest
    document id) per hash, so a line that every document has leaves a task once per block.
    Blocks travel packed, one row per shard; the shard is taken from the hash.
-2. Each shard sums its blocks, keeps hashes found in enough documents and stores them as
-   arrays addressed by a minimal perfect hash (levels of bit arrays with ranks): one half of
-   the hash as fingerprint, the count, and the largest document id. No keys are stored twice
-   and no lines at all.
-3. The documents are read again and probe the arrays: per block, distinct hashes with the
-   places they stand at. A shard's arrays come first in its partition, its probes stream
-   past them. Only the places to drop come back, and are joined to their documents.
+2. Each shard sums its blocks, keeps hashes found in two documents or more (others can't lose a
+   line, whatever the threshold) and writes one file of arrays to the shared folder, addressed by a
+   minimal perfect hash: levels of bits with ranks, then one half of the hash as fingerprint, the
+   count, and the largest document id. No keys are stored twice and no lines at all.
+3. The documents are read again, and every task probes the files in place: a block's hashes are
+   sorted by shard, and of each shard the pages they point at are read, or the array as a whole
+   where that is less. Neither lines nor texts are shuffled; the counts decide which lines go.
+
+There is a shard per ``SHARD_BYTES`` of text, which are measured, so a shard's arrays are bounded. The
+driver learns the name of each shard's file, 16 bytes per shard: 25 MB for 100 TB of text.
+Files of failed attempts are never looked at, as names come from the committed table.
 
 A key is the line without white space (0x20, 0x09-0x0D) at its ends, A-Z lower-cased. Keys of
 at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines,
@@ -18,8 +22,8 @@ except in the document with the largest id that holds them.
 Defined cases: null or empty text is one empty line, and stays as it is; a repeated row is a
 document of its own, and rows that share the largest id all keep the line; a null id is
 below every other; a text left without lines is empty; all columns pass through unchanged but
-the text; an empty table stays empty. Two different keys would have to share 128 bits of
-XXH3 to be taken for each other.
+the text; an empty table stays empty. Keys are told apart by 128 bits of XXH3 when counted; a line
+that isn't in the arrays would have to share 64 bits with the key at its slot to be taken for it.
 """
 
 from __future__ import annotations
@@ -29,12 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from aspectra.llm.common import discard, lean, shuffle_partitions, shuffles_freed, slices, stash
+from aspectra.llm.common import lean, shuffles_freed, slices, stash
+from aspectra.llm.shared_files import new_file, open_random
+from aspectra.session import scratch_path
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
 BLOCK_LINES = 200_000
+SHARD_BYTES = 64 << 20  # text for which there is one shard
+BLOCK_BYTES = 32 << 20  # text that a task holds while it probes
 PAIR = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
 
@@ -69,6 +78,8 @@ def build_levels(lo: np.ndarray, hi: np.ndarray, gamma: float = 2.0) -> list[np.
 
 
 class Levels:
+    """The levels in memory, to number the keys of a shard that is being built."""
+
     def __init__(self, levels: list[np.ndarray]):
         self.levels, self.ranks, before = levels, [], 0
         for bits in levels:
@@ -87,6 +98,89 @@ class Levels:
         return out
 
 
+# ---- a shard's file: header page, levels as cells of rank and bits, fingerprints, counts, largest ids ----
+
+PAGE = 4096
+CELL_BITS = 448
+CELL = np.dtype([("rank", "<u8"), ("words", "<u8", 7)])  # set bits before the cell, the cell's bits
+MARK, COUNT, TOP = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<i8")
+
+
+def write_shard(out, pairs: np.ndarray, count: np.ndarray, top: np.ndarray) -> None:
+    """Write the arrays of distinct keys ``pairs``."""
+    levels = build_levels(pairs["lo"], pairs["hi"])
+    slot = Levels(levels).index(pairs["lo"], pairs["hi"])
+    header = np.zeros(PAGE // 8, "<u8")
+    header[:2] = len(levels), len(pairs)
+    header[2 : 2 + len(levels)] = [len(x) for x in levels]
+    out.write(header.tobytes())
+    before = 0
+    for bits in levels:
+        cells = np.zeros(-(-len(bits) // CELL_BITS), CELL)
+        padded = np.zeros(len(cells) * CELL_BITS, bool)
+        padded[: len(bits)] = bits
+        cells["words"] = np.packbits(padded, bitorder="little").view("<u8").reshape(-1, 7)
+        held = np.bitwise_count(cells["words"]).sum(axis=1, dtype=np.uint64)
+        cells["rank"] = before + np.cumsum(held) - held
+        before += int(held.sum())
+        out.write(cells.tobytes())
+    for kind, values in ((MARK, pairs["hi"]), (COUNT, np.minimum(count, 0xFFFFFFFF)), (TOP, top)):
+        array = np.zeros(len(pairs), kind)
+        array[slot] = values
+        out.write(array.tobytes())
+
+
+class ShardFile:
+    """A shard's arrays, probed where they lie."""
+
+    def __init__(self, file):
+        self.file = file
+        header = np.frombuffer(file.read_at(PAGE, 0), "<u8").astype(np.int64)
+        self.n, at = int(header[1]), PAGE
+        self.levels = []
+        for size in header[2 : 2 + header[0]].tolist():
+            cells = -(-size // CELL_BITS)
+            self.levels.append((size, at, cells))
+            at += cells * CELL.itemsize
+        self.marks, self.counts = at, at + self.n * MARK.itemsize
+        self.tops = self.counts + self.n * COUNT.itemsize
+
+    def fetch(self, base: int, kind: np.dtype, n: int, index: np.ndarray) -> np.ndarray:
+        """Items of the array of ``n`` at ``base``: by pages, or whole where that reads less."""
+        whole, per = n * kind.itemsize, PAGE // kind.itemsize
+        pages = np.unique(index // per)
+        if len(pages) * PAGE >= whole:
+            return np.frombuffer(self.file.read_at(whole, base), kind)[index]
+        held = b"".join(self.file.read_at(PAGE, base + p * PAGE) for p in pages[:-1].tolist())
+        held += self.file.read_at(min(PAGE, whole - int(pages[-1]) * PAGE), base + int(pages[-1]) * PAGE)
+        return np.frombuffer(held, kind)[np.searchsorted(pages, index // per) * per + index % per]
+
+    def probe(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, largest id) of each key; count 0 where the shard doesn't have it."""
+        count, top = np.zeros(len(pairs), np.int64), np.full(len(pairs), NO_ID, np.int64)
+        slot, left = np.full(len(pairs), -1, np.int64), np.arange(len(pairs))
+        x = pairs["lo"] ^ (pairs["hi"] * np.uint64(0x9FB21C651E98DF25))
+        for k, (size, base, cells) in enumerate(self.levels):
+            if not len(left):
+                break
+            at = _slot(x[left], k, size)
+            cell = self.fetch(base, CELL, cells, at // CELL_BITS)
+            word, bit = at % CELL_BITS // 64, (at % 64).astype(np.uint64)
+            here = cell["words"][np.arange(len(at)), word]
+            hit = (here >> bit & np.uint64(1)).astype(bool)
+            earlier = np.where(np.arange(7) < word[:, None], np.bitwise_count(cell["words"]), 0).sum(axis=1)
+            rank = cell["rank"].astype(np.int64) + earlier + np.bitwise_count(here & ((np.uint64(1) << bit) - np.uint64(1)))
+            slot[left[hit]] = rank[hit]
+            left = left[~hit]
+        some = np.flatnonzero(slot >= 0)
+        if len(some):
+            some = some[self.fetch(self.marks, MARK, self.n, slot[some]) == pairs["hi"][some]]
+        if len(some):
+            count[some] = self.fetch(self.counts, COUNT, self.n, slot[some])
+            top[some] = self.fetch(self.tops, TOP, self.n, slot[some])
+        return count, top
+
+
 # ---- passes ----
 
 
@@ -134,7 +228,9 @@ def _counts(n_shards: int, min_chars: int):
     return run
 
 
-def _arrays(min_docs: int):
+def _arrays(root: str):
+    """One file per shard that holds a key of two documents; rows (shard, name)."""
+
     def run(batches):
         now, held = None, []
 
@@ -144,144 +240,115 @@ def _arrays(min_docs: int):
             pairs, n, top = pairs[order], n[order], top[order]
             first = np.concatenate([[0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1])
             n, top, pairs = np.add.reduceat(n, first), np.maximum.reduceat(top, first), pairs[first]
-            keep = n >= min_docs
-            pairs, n, top = pairs[keep], n[keep], top[keep]
-            levels = build_levels(pairs["lo"], pairs["hi"])
-            slot = Levels(levels).index(pairs["lo"], pairs["hi"])
-            mark, count, last = np.zeros(len(n), "<u8"), np.zeros(len(n), "<u4"), np.zeros(len(n), "<i8")
-            mark[slot], count[slot], last[slot] = pairs["hi"], np.minimum(n, 0xFFFFFFFF), top
-            row = [[now], [[np.packbits(x).tobytes() for x in levels]], [[len(x) for x in levels]], [mark.tobytes()], [count.tobytes()], [last.tobytes()]]
-            kinds = [pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["shard", "levels", "sizes", "marks", "counts", "tops"])
+            keep = n >= 2
+            if not keep.any():
+                return None
+            uri, out = new_file(root, "arrays", ".bin")
+            with out:
+                write_shard(out, pairs[keep], n[keep], top[keep])
+            name = bytes.fromhex(uri[-len(".bin") - 32 : -len(".bin")])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name], pa.binary())], ["shard", "name"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != now and held:
-                    yield build()
+                    if (made := build()) is not None:
+                        yield made
                     held = []
                 now = row[0]
                 held.append(row[1:])
-        if held:
-            yield build()
+        if held and (made := build()) is not None:
+            yield made
 
     return run
 
 
-ARRAYS = "shard int, levels array<binary>, sizes array<long>, marks binary, counts binary, tops binary"
+class ArrayFiles:
+    """The files of all shards below ``root``: 16 bytes of name each, zeros where a shard has no file."""
 
+    def __init__(self, root: str, n_shards: int, names: dict[int, bytes]):
+        self.root, self.n_shards, self.names = root, n_shards, np.zeros((n_shards, 16), np.uint8)
+        for k, name in names.items():
+            self.names[k] = np.frombuffer(name, np.uint8)
 
-def line_arrays(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The shards' arrays, one row per shard that holds a key."""
-    n = n_shards or 4 * shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long"), text_col)
-    blocks = rows.mapInArrow(lean(_counts(n, min_chars)), "shard int, keys binary, n binary, top binary")
-    return blocks.repartition(-(-n // 4), "shard").sortWithinPartitions("shard").mapInArrow(lean(_arrays(min_docs)), ARRAYS)
+    def probe(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, largest id) of each key; count 0 for keys that no file has."""
+        count, top = np.zeros(len(pairs), np.int64), np.full(len(pairs), NO_ID, np.int64)
+        order, parts = _by_shard(pairs, self.n_shards)
+        for k, a, z in parts:
+            if self.names[k].any():
+                with open_random(f"{self.root}/arrays-{self.names[k].tobytes().hex()}.bin") as file:
+                    count[order[a:z]], top[order[a:z]] = ShardFile(file).probe(pairs[order[a:z]])
+        return count, top
 
 
-def _probes(n_shards: int, min_chars: int):
-    """Blocks of distinct hashes with the places (row key, line number) they stand at."""
+def line_arrays(docs: DataFrame, min_chars: int = 20, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> ArrayFiles:
+    """Build the shards' files: (documents, largest id) of every line found in two documents or more."""
+    spark = docs.sparkSession
+    if n_shards is None:
+        n_shards = 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // SHARD_BYTES
+    rows = docs.select(F.col(id_col).cast("long"), text_col)
+    blocks = rows.mapInArrow(lean(_counts(n_shards, min_chars)), "shard int, keys binary, n binary, top binary")
+    root = scratch_path(spark, "line-arrays")
+    files = blocks.repartition(-(-n_shards // 2), "shard").sortWithinPartitions("shard").mapInArrow(lean(_arrays(root)), "shard int, name binary")
+    with shuffles_freed(spark):
+        files, _ = stash(files, "line-array-files")
+    return ArrayFiles(root, n_shards, {r["shard"]: bytes(r["name"]) for r in files.collect()})
 
-    def run(batches):
-        seen: dict[bytes, list[tuple[int, int, int]]] = {}
-        held = 0
 
-        def flush():
-            pairs = np.frombuffer(b"".join(seen), PAIR)
-            order, parts = _by_shard(pairs, n_shards)
-            spots = list(seen.values())
-            rows = []
-            for k, a, z in parts:
-                mine = [spots[i] for i in order[a:z].tolist()]
-                size = np.array([len(x) for x in mine], np.int32)
-                at = np.array([y for x in mine for y in x], np.int64)
-                rows.append((k, pairs[order[a:z]].tobytes(), size.tobytes(), at.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], ["shard", "keys", "sizes", "places"])
+def _cut(files: ArrayFiles, min_chars: int, min_docs: int, text_at: int):
+    """Rows (doc, id) with the text of ``doc`` cleaned, block by block."""
 
-        for b in slices(batches, 512):
-            for doc, row, text in zip(*(c.to_pylist() for c in b.columns)):
-                doc = NO_ID if doc is None else doc
+    def finish(held):
+        keys, owners, places, ids = [], [], [], []
+        for b, texts in held:
+            for doc, text in zip(b.column(1).to_pylist(), texts):
                 for i, line in enumerate((text or "").split("\n")):
                     if (k := key_hash(line, min_chars)) is not None:
-                        seen.setdefault(k, []).append((doc, row, i))
-                        held += 1
-            if held >= BLOCK_LINES:
-                yield flush()
-                seen.clear()
-                held = 0
-        if seen:
-            yield flush()
+                        keys.append(k)
+                        owners.append(len(ids))
+                        places.append(i)
+                ids.append(NO_ID if doc is None else doc)
+        owner = np.array(owners, np.int64)
+        count, top = files.probe(np.frombuffer(b"".join(keys), PAIR))
+        drop = np.flatnonzero((count >= min_docs) & (np.array(ids, np.int64)[owner] < top))
+        gone: dict[int, set[int]] = {}
+        for j in drop.tolist():
+            gone.setdefault(owners[j], set()).add(places[j])
+        row = 0
+        for b, texts in held:
+            kept, before, dropped = [], [], []
+            for t in texts:
+                lines = gone.get(row, ())
+                before.append((t or "").count("\n") + 1)
+                dropped.append(len(lines))
+                kept.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in lines) if lines else t)
+                row += 1
+            fields = b.column(0).flatten()
+            fields[text_at] = pa.array(kept, fields[text_at].type)
+            doc = pa.StructArray.from_arrays(fields, fields=list(b.column(0).type))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], ["doc", "n_lines", "n_dropped"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in slices(batches, 512):
+            texts = b.column(0).flatten()[text_at].to_pylist()
+            held.append((b, texts))
+            size += sum(len(t) for t in texts if t)
+            if size >= BLOCK_BYTES:
+                yield from finish(held)
+                held, size = [], 0
+        if held:
+            yield from finish(held)
 
     return run
 
 
-def _answer(batches):
-    """A shard's arrays come before its probes; answers are the places to drop."""
-    now = index = None
-    for b in batches:
-        for shard, kind, levels, sizes, marks, tops, keys, n, places in zip(*(c.to_pylist() for c in b.columns)):
-            if kind == 0:
-                now = shard
-                index = Levels([np.unpackbits(np.frombuffer(x, np.uint8), count=s).astype(bool) for x, s in zip(levels, sizes)])
-                mark, top = np.frombuffer(marks, "<u8"), np.frombuffer(tops, "<i8")
-                continue
-            if shard != now or not len(mark):
-                continue
-            pairs = np.frombuffer(keys, PAIR)
-            slot = index.index(pairs["lo"], pairs["hi"])
-            hit = (slot >= 0) & (mark[np.maximum(slot, 0)] == pairs["hi"])
-            last = np.where(hit, top[np.maximum(slot, 0)], NO_ID)
-            spots, size = np.frombuffer(places, np.int64).reshape(-1, 3), np.frombuffer(n, np.int32)
-            drop = spots[np.repeat(hit, size) & (spots[:, 0] < np.repeat(last, size))]
-            if len(drop):
-                ids = pa.array(drop[:, 0], mask=drop[:, 0] == NO_ID)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(drop[:, 1]), pa.array(drop[:, 2])], ["id", "row", "line"])
-
-
-def dropped_lines(docs: DataFrame, arrays: DataFrame, min_chars: int, n_shards: int) -> DataFrame:
-    """(id, row, line) of every line to drop; ``docs`` has (id, row, text)."""
-    probes = docs.mapInArrow(lean(_probes(n_shards, min_chars)), "shard int, keys binary, sizes binary, places binary")
-    none = F.lit(None)
-    first = arrays.select("shard", F.lit(0).alias("kind"), "levels", "sizes", "marks", "tops", none.cast("binary").alias("keys"), none.cast("binary").alias("n"), none.cast("binary").alias("places"))
-    then = probes.select(
-        "shard", F.lit(1).alias("kind"), none.cast("array<binary>").alias("levels"), none.cast("array<long>").alias("sizes"), none.cast("binary").alias("marks"),
-        none.cast("binary").alias("tops"), "keys", F.col("sizes").alias("n"), "places",
-    )
-    both = first.unionByName(then).repartition(-(-n_shards // 4), "shard").sortWithinPartitions("shard", "kind")
-    return both.mapInArrow(lean(_answer), "id long, row long, line long")
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the text cleaned, plus ``_n_lines`` (before) and ``_n_dropped``."""
-    spark = docs.sparkSession
-    n = 4 * shuffle_partitions(spark)  # four shards a partition, so that their hashes deal them out evenly
-    row = F.xxhash64(F.col(text_col)).alias("row")  # tells apart rows that share an id
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), row, F.col(text_col).alias("text"))
-    with shuffles_freed(spark):
-        arrays, arrays_path = stash(line_arrays(docs, min_chars, min_docs, n, id_col, text_col), "line-arrays")
-        places = dropped_lines(keyed, arrays, min_chars, n).groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
-        drops, _ = stash(places, "line-drops")  # a document's own lines at most
-        discard(spark, arrays_path)
+    files = line_arrays(docs, min_chars, n_shards, id_col, text_col)
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).cast("long").alias("id"), row)
-    drops = drops.select(F.col("id").alias("drop_id"), F.col("row").alias("drop_row"), "lines").hint("shuffle_hash")
-    same = F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("row") == F.col("drop_row"))
-    joined = whole.join(drops, same, "left")
-    text = F.col(f"doc.`{text_col}`")
-    parts = joined.select("doc", text.alias("text"), "lines")
-    schema = f"doc {whole.schema['doc'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
-
-    def cut(batches):
-        for b in slices(batches, 512):
-            texts, before, gone = [], [], []
-            for t, lines in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                before.append((t or "").count("\n") + 1)
-                gone.append(len(lines or ()))
-                if lines:
-                    lines = set(lines)
-                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lines)
-                texts.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], ["doc", "text", "n_lines", "n_dropped"])
-
-    out = parts.mapInArrow(lean(cut), schema)
-    cols = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in names]
-    return out.select(*cols, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).cast("long").alias("id"))
+    schema = T.StructType([T.StructField("doc", whole.schema["doc"].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = whole.mapInArrow(lean(_cut(files, min_chars, min_docs, names.index(text_col))), schema)
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in names], F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))

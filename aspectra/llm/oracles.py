@@ -169,6 +169,9 @@ def _count(markers) -> str:
     return "(" + " + ".join(f"(length(whole) - length(replace(whole, '{m}', ''))) / {len(m)}" for m in markers) + ")"
 
 
+FILL_STEPS = 16  # more than the values of lang and topic, and than the given sources need
+
+
 def op5() -> str:
     counts = {name: _count(markers) for name, markers in TOPICS.items()}
     most = "greatest(" + ", ".join(counts.values()) + ")"
@@ -179,28 +182,35 @@ def op5() -> str:
          CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS DOUBLE) AS tokens,
          ('0x' || substr(md5('mix|{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '(null)')), 1, 8))::BIGINT / 4294967296.0 AS draw
   FROM (SELECT *, coalesce(text, '') AS whole FROM documents))""",
-        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM base GROUP BY ALL)",
-        "w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)",
+        f"""cells AS MATERIALIZED (SELECT *, tokens / ({MIX_KEEP} * sum(tokens) OVER ()) AS most, tokens / sum(tokens) OVER () AS weight
+  FROM (SELECT source, lang, topic, sum(tokens) AS tokens FROM base GROUP BY ALL))""",
     ]
     for col, wanted in MIX_TARGETS.items():
         if wanted:
             share = f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in wanted.items()) + f" ELSE {sum(wanted.values()) / len(wanted)} END"
         else:
             share = "pow(sum(tokens), 0.5)"
-        steps.append(f"goal_{col} AS MATERIALIZED (SELECT {col}, share / sum(share) OVER () AS target FROM (SELECT {col}, {share} AS share FROM cells GROUP BY {col}))")
+        steps.append(f"share_{col} AS MATERIALIZED (SELECT {col}, {share} AS share, sum(most) AS most FROM cells GROUP BY {col})")
+        # The scale at which the targets sum to 1 with each held at its bound; a value at its bound stays there.
+        steps.append(f"{col}_0 AS MATERIALIZED (SELECT 1.0 / sum(share) AS scale FROM share_{col})")
+        for k in range(FILL_STEPS):
+            held = "share * scale >= most"
+            steps.append(
+                f"{col}_{k + 1} AS MATERIALIZED (SELECT coalesce(greatest(0.0, 1.0 - coalesce(sum(most) FILTER ({held}), 0.0)) / nullif(sum(share) FILTER (NOT ({held})), 0.0), any_value(scale)) AS scale FROM share_{col}, {col}_{k})"
+            )
+        steps.append(f"goal_{col} AS MATERIALIZED (SELECT {col}, least(most, share * scale) AS target FROM share_{col}, {col}_{FILL_STEPS})")
+    steps.append("w0 AS MATERIALIZED (SELECT * FROM cells)")
     k = 0
     for _ in range(ROUNDS):
         for col in MIX_TARGETS:
-            steps.append(
-                f"w{k + 1} AS MATERIALIZED (SELECT w.* REPLACE (weight * (target / sum(weight) OVER (PARTITION BY w.{col})) AS weight) FROM w{k} w JOIN goal_{col} g ON w.{col} = g.{col})"
-            )
+            scaled = f"weight * (target / sum(weight) OVER (PARTITION BY w.{col}))"
+            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT w.* REPLACE (least(most, {scaled}) AS weight) FROM w{k} w JOIN goal_{col} g ON w.{col} = g.{col})")
             k += 1
     return (
-        "WITH " + ",\n".join(steps) + f""",
-chance AS (SELECT *, least(1.0, {MIX_KEEP} * sum(tokens) OVER () * weight / tokens) AS probability FROM w{k})
+        "WITH " + ",\n".join(steps) + f"""
 SELECT b.doc_id, b.source, b.lang, b.topic, CAST(b.tokens AS BIGINT) AS n_tokens, round(c.weight, 6) AS weight,
-       round(c.probability, 6) AS probability, CAST(b.draw < c.probability AS BIGINT) AS kept
-FROM base b JOIN chance c ON b.source = c.source AND b.lang = c.lang AND b.topic = c.topic"""
+       round(c.weight / c.most, 6) AS probability, CAST(b.draw < c.weight / c.most AS BIGINT) AS kept
+FROM base b JOIN w{k} c ON b.source = c.source AND b.lang = c.lang AND b.topic = c.topic"""
     )
 
 

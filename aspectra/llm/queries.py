@@ -48,13 +48,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def mix_documents(docs: DataFrame, keep: float = MIX_KEEP) -> DataFrame:
+def mix_documents(docs: DataFrame, keep: float = MIX_KEEP, carry: list[str] | None = None) -> DataFrame:
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), TOPICS)}
-    return mixing.mix(docs, MIX_TARGETS, columns, mixing.tokens(F.col("text")), keep=keep)
+    return mixing.mix(docs, MIX_TARGETS, columns, mixing.tokens(F.col("text")), keep=keep, carry=carry)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_documents(read_table(spark, sf_dir, "documents"))
+    out = mix_documents(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(
         F.col("doc.doc_id").alias("doc_id"), "source", "lang", "topic", F.col("tokens").cast("long").alias("n_tokens"),
         F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), F.col("kept").cast("long").alias("kept"),

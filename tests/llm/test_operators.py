@@ -388,3 +388,27 @@ def test_mixing(spark):
     assert hard.count() == len(HARD) and hard.where("source = '(null)'").count() > 0
     assert mix_documents(empty_docs(spark)).collect() == []
     assert mixing.ROUNDS > 1
+
+
+def test_mixing_reaches_what_can_be_reached(spark):
+    rows = [(s, l, t, float(n)) for s, l, t, n in (("a", "x", "p", 900), ("a", "y", "p", 300), ("b", "x", "q", 60), ("b", "y", "p", 500), ("c", "x", "p", 400), ("c", "y", "q", 40))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    wanted = {"source": {"a": 0.3, "b": 0.4, "c": 0.3}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.5, "q": 0.5}}
+    raked, goals = mixing.rake(cells, wanted, keep=0.5, rounds=60)
+    assert all(r["weight"] <= r["most"] * (1 + 1e-12) for r in raked.collect())
+    found = {(r["marginal"], r["value"]): r for r in mixing.residuals(raked, goals).collect()}
+    # Only 100 of 1100 tokens are of topic q: all of them, and p has the rest.
+    assert abs(found["topic", "q"]["target"] - 100 / 1100) < 1e-12 and found["topic", "q"]["wanted"] == 0.5
+    assert abs(sum(r["target"] for (m, _), r in found.items() if m == "topic") - 1) < 1e-12
+    assert max(r["residual"] for r in found.values()) < 1e-3
+    shuffled, _ = mixing.rake(cells, {**wanted, "lang": {"x": 1.0, "y": 0.0}}, keep=0.3, rounds=8)
+    assert all(r["weight"] == 0 for r in shuffled.where("lang = 'y'").collect())
+
+
+def test_mixing_with_many_cells(spark, monkeypatch):
+    cells = spark.range(60).selectExpr("concat('s', id % 12) as source", "concat('l', id div 12) as lang", "cast(10 + id * id as double) as tokens")
+    wanted = {"source": None, "lang": {"l0": 0.3, "l1": 0.3}}
+    whole = {(r["source"], r["lang"]): r["weight"] for r in mixing.rake(cells, wanted)[0].collect()}
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 10)
+    dealt = {(r["source"], r["lang"]): r["weight"] for r in mixing.rake(cells, wanted)[0].collect()}
+    assert whole.keys() == dealt.keys() and all(abs(whole[k] - dealt[k]) < 1e-12 for k in whole)

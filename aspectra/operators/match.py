@@ -25,17 +25,21 @@ BROADCAST_LEXICON_ROWS = 200_000
 BROADCAST_LEXICON_BYTES = 64 << 20
 
 
-def sized_broadcast(df: DataFrame, max_rows: int, bound: int | None = None) -> tuple[DataFrame, bool]:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+# A table that is proven to have so few rows is broadcast without a job to measure it.
+SURE_ROWS = 100_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int, bound: int | None = None, max_bytes: int = BROADCAST_LEXICON_BYTES) -> tuple[DataFrame, bool]:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows of ``max_bytes`` together, else ``df`` unchanged.
 
     ``bound`` is a row bound the caller can prove by construction (a vocabulary
-    capped at max_features, a class list); then no counting job runs. Otherwise
-    the check reads at most ``max_rows + 1`` rows, so it stays cheap whatever the size.
+    capped at max_features, a class list); up to ``SURE_ROWS`` nothing is run. Otherwise
+    rows and bytes are measured by one aggregate, so the table should be written or cheap.
     """
-    if bound is not None and bound <= max_rows:
+    if bound is not None and bound <= min(max_rows, SURE_ROWS):
         return F.broadcast(df), True
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes:
         return F.broadcast(df), True
     return df, False
 

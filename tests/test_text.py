@@ -106,3 +106,14 @@ def test_vectorizer_tokens_and_ngrams(spark):
     for n in (1, 2, 3):
         expected += [" ".join(tokens[i:i + n]) for i in range(len(tokens) - n + 1)]
     assert list(r["g"]) == expected
+
+
+def test_broadcasts_are_decided_on_measured_bytes(spark):
+    from aspectra.operators.match import SURE_ROWS, sized_broadcast
+
+    terms = spark.range(100).selectExpr("repeat(cast(id as string), 500) as term", "array(0.5D, null) as lp")
+    assert sized_broadcast(terms, 1000)[1] and sized_broadcast(terms, 1000, bound=100, max_bytes=10)[1]
+    assert not sized_broadcast(terms, 99)[1]
+    # A bound beyond the sure one doesn't stand for the bytes.
+    assert not sized_broadcast(terms, 10 * SURE_ROWS, bound=2 * SURE_ROWS, max_bytes=50_000)[1]
+    assert sized_broadcast(terms.limit(0), 10)[1]

@@ -109,15 +109,15 @@ def fit_compare_epochs(spark: SparkSession, sf: str) -> DataFrame:
     found, models, run = data(spark, sf), store(spark), next(iter(RUNS))
     FO.fit(found.rows, found.n_terms, 3, RUNS[run], FO.EPOCHS, models, run)
     nb = TR.bayes_model(found.train)
-    b = TR.materialize(nb.scores(found.test, TR.KEYS).withColumnRenamed("scores", "logits_b"))
-    hold_out, out = found.rows.where(~F.col("train")), None
+    # A hold-out row has the scores of B before its epochs are laid out: one join, however many epochs there are.
+    b = nb.scores(found.test, TR.KEYS, single=True).withColumnRenamed("scores", "logits_b")
+    hold_out, out = TR.materialize(found.rows.where(~F.col("train")).join(b, TR.KEYS)), None
     for version in models.versions(f"{run}-state"):
         about = models.about(version)
-        a = FO.probabilities(hold_out, TR.KEYS, FO.State.load(spark, version.path, about).weights, ["label"])
-        a = a.select(*TR.KEYS, "label", F.lit(about["epoch"]).alias("epoch"), F.col("scores").alias("logits_a"), F.col("probs").alias("_pa"))
+        a = FO.probabilities(hold_out, TR.KEYS, FO.State.load(spark, version.path, about).weights, ["label", "logits_b"])
+        a = a.select(*TR.KEYS, "label", "logits_b", F.lit(about["epoch"]).alias("epoch"), F.col("scores").alias("logits_a"), F.col("probs").alias("_pa"))
         out = a if out is None else out.unionByName(a)
-    fused = V.fuse_weighted(F.col("_pa"), V.softmax(F.col("logits_b")), *QE.FUSE_WEIGHTS)
-    both = TR.materialize(out.join(b, TR.KEYS).withColumn("fused", fused))
+    both = out.withColumn("fused", V.fuse_weighted(F.col("_pa"), V.softmax(F.col("logits_b")), *QE.FUSE_WEIGHTS))
     preds = {"pred_a": "logits_a", "pred_b": "logits_b", "pred": "fused"}
     return QE._compare(both.withColumns({p: V.argmax(F.col(s)) for p, s in preds.items()}), ["epoch"])
 
@@ -139,7 +139,7 @@ def model_store_predict(spark: SparkSession, sf: str) -> DataFrame:
     except InterruptedError:
         pass
     loaded = models.load("bayes", lambda path: TR.TextBayes.load(spark, path))
-    scored = loaded.scores(test, carry=["sentiment"])
+    scored = loaded.scores(test, carry=["sentiment"], single=True)
     return scored.select(*TR.KEYS, F.col("sentiment").alias("label"), B.predict(loaded.model, scored).alias("pred"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from aspectra.functions import vectors as V
 from aspectra.operators import features as FE
+from aspectra.operators import row_terms as RT
 from aspectra.session import checkpoint
 from aspectra.sources.model_store import ModelStore
 
@@ -50,12 +51,11 @@ class Settings:
 def features(rows: DataFrame, text: str, keys: Sequence[str], label: str, train: Column, vocab: DataFrame, n_terms: int, lo: int = 1, hi: int = 1) -> DataFrame:
     """TF-IDF of all labelled rows, with the bias, laid out by ``keys`` (a checkpoint in the shared folder)."""
     rows = rows.where(F.col(label).isNotNull()).withColumn("train", train)
-    counts = FE.term_counts(rows, text, keys, lo, hi, carry=[label, "train"])
-    terms = FE.tfidf(counts, vocab, keys, carry=[label, "train"]).select(*keys, F.col(label).alias("label"), "train", "idx", F.col("weight").alias("x"))
-    bias = rows.select(*keys, F.col(label).alias("label"), "train", F.lit(n_terms).alias("idx"), F.lit(1.0).alias("x"))
-    # Texts are whole from here on: their terms were counted under their keys, and no text has more than the vocabulary.
-    laid = terms.unionByName(bias).repartition(FE.work_partitions(rows), *keys)
-    found = laid.groupBy(*keys, "label", "train").agg(F.collect_list(F.struct("idx", "x")).alias("terms"))
+    table = vocab.select("term", "idx", "idf").collect()  # at most the vocabulary's cap
+    terms = RT.weights(F.col(text), [r["term"] for r in table], [r["idx"] for r in table], [r["idf"] for r in table], lo, hi)
+    bias = F.array(F.struct(F.lit(n_terms).alias("idx"), F.lit(1.0).alias("x")))
+    each = rows.repartition(FE.work_partitions(rows), *keys).select(*keys, F.col(label).alias("label"), "train", terms.alias("terms"))
+    found = each.withColumn("terms", F.concat(F.col("terms").cast("array<struct<idx:int,x:double>>"), bias))
     return checkpoint(found)
 
 

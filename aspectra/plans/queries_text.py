@@ -245,8 +245,7 @@ def clauses_without_aspect(spark: SparkSession, sf: str) -> DataFrame:
 def aspect_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: which aspects people write about, per clause."""
     # Only the aspect is needed: no clause text is carried through the per-clause aggregate.
-    hits = M.match_word(D.clauses(spark, sf), "clause", CKEYS, D.ranked_lexicon(spark, sf))
-    main = M.main_aspect(hits, CKEYS)
+    main = M.main_word(D.clauses(spark, sf), "clause", CKEYS, D.ranked_lexicon(spark, sf))
     return main.groupBy("aspect").agg(
         F.count(F.lit(1)).alias("n_clauses"), F.count_distinct("doc_id").alias("n_docs")
     )
